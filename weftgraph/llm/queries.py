@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from weftgraph.llm.bpe import op1_bpe_automaton
+from weftgraph.llm.mpeg import op3_mpeg_audio
+from weftgraph.llm.pii import op2_pii_boosting
 
 QUERIES = {
     "op1_bpe_automaton": op1_bpe_automaton,
+    "op2_pii_boosting": op2_pii_boosting,
+    "op3_mpeg_audio": op3_mpeg_audio,
 }
 
 ORACLE_SQL: dict[str, str] = {}
