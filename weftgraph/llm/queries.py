@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from weftgraph.llm.bpe import op1_bpe_automaton
+from weftgraph.llm.mixing import op10_block_mix
 from weftgraph.llm.mpeg import op3_mpeg_audio
 from weftgraph.llm.pii import op2_pii_boosting
+from weftgraph.llm.sharding import OP6_SQL, op6_feistel_shards
 
 QUERIES = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op2_pii_boosting": op2_pii_boosting,
     "op3_mpeg_audio": op3_mpeg_audio,
+    "op6_feistel_shards": op6_feistel_shards,
+    "op10_block_mix": op10_block_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_feistel_shards": OP6_SQL,
+}
