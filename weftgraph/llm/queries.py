@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftgraph.llm.bpe import op1_bpe_automaton
+from weftgraph.llm.minhash import op5_weighted_minhash
 from weftgraph.llm.mixing import op10_block_mix
 from weftgraph.llm.mpeg import op3_mpeg_audio
 from weftgraph.llm.pii import op2_pii_boosting
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op2_pii_boosting": op2_pii_boosting,
     "op3_mpeg_audio": op3_mpeg_audio,
+    "op5_weighted_minhash": op5_weighted_minhash,
     "op6_feistel_shards": op6_feistel_shards,
     "op10_block_mix": op10_block_mix,
 }
