@@ -8,11 +8,13 @@ from weftgraph.llm.mixing import op10_block_mix
 from weftgraph.llm.mpeg import op3_mpeg_audio
 from weftgraph.llm.pii import op2_pii_boosting
 from weftgraph.llm.sharding import OP6_SQL, op6_feistel_shards
+from weftgraph.llm.substrings import op4_fingerprint_index
 
 QUERIES = {
     "op1_bpe_automaton": op1_bpe_automaton,
     "op2_pii_boosting": op2_pii_boosting,
     "op3_mpeg_audio": op3_mpeg_audio,
+    "op4_fingerprint_index": op4_fingerprint_index,
     "op5_weighted_minhash": op5_weighted_minhash,
     "op6_feistel_shards": op6_feistel_shards,
     "op10_block_mix": op10_block_mix,
