@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -67,6 +68,12 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete shuffle and checkpoint files that no live frame needs; they go with their driver-side handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
     """Add gapless numbers from 0 in the given order, without one task seeing all rows.
 
