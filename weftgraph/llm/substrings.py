@@ -9,7 +9,8 @@ per fingerprint. A new batch is merge-joined with every run; a fingerprint met i
 different texts, or in a window that its document repeats, is a hit. Runs of a level are compacted into one
 of the next level as soon as there are FANOUT of them.
 
-Verification: the windows behind hits are compared by 128-bit digests of their very words, and each
+Verification: the windows behind hits are compared by digests of their very words (64 bits beside the
+fingerprint's 64), runs of windows with one fingerprint at a time where all such runs are equal, and each
 word covered by a window that starts earlier elsewhere is removed. Documents whose whole
 word sequence an earlier document has are removed as a whole and do not enter verification.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.words import Words, canonical, chunks
-from weftgraph.runtime import Scratch, cut, shared_dir, ship_package
+from weftgraph.runtime import Scratch, cut, release, shared_dir, ship_package
 
 WINDOW, ANCHOR = 20, 10
 BATCHES, FANOUT = 3, 2
@@ -140,9 +141,15 @@ class FingerprintIndex:
         self.levels = []
 
 
-def _windows_behind(df: DataFrame) -> DataFrame:
-    """(digest, _id, start) of the windows whose fingerprint is among `prints`."""
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), df.schema["_id"], T.StructField("start", T.IntegerType())])
+def _stretches(df: DataFrame) -> DataFrame:
+    """(print, digest, _id, start, n, windows, again): runs of n windows with one fingerprint among `prints`.
+
+    digest and windows (packed) are 64-bit digests of the run's and of each window's very words; with the
+    fingerprint they make 128 bits. Windows that stand earlier in the same text are left out; again, on the
+    first row of a text, has their starts.
+    """
+    fields = T.StructType.fromDDL("print long, digest long").fields
+    schema = T.StructType([*fields, df.schema["_id"], *T.StructType.fromDDL("start int, n int, windows binary, again array<int>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,20 +167,63 @@ def _windows_behind(df: DataFrame) -> DataFrame:
                         a, b = ends[i], ends[i + 1]
                         if b > a:
                             keep[a:b] = np.isin(f[a:b], prints[at + i].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    got = first[keep]
-                    blob, starts, stops = w.blob, w.starts[got].tolist(), w.stops[got + WINDOW - 1].tolist()
-                    digests = [xxhash.xxh3_128_digest(blob[s:e]) for s, e in zip(starts, stops, strict=True)]
-                    start = (got - w.first[docs[keep]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), ids.take(pa.array(docs[keep] + at)), pa.array(start)], names=["digest", "_id", "start"])
+                    got, kind, doc = first[keep], f[keep], docs[keep]
+                    if not len(got):
+                        continue
+                    blob, one = w.blob, xxhash.xxh3_64_intdigest
+                    starts, stops = w.starts[got], w.stops[got + WINDOW - 1]
+                    digests = np.fromiter((one(blob[s:e]) for s, e in zip(starts.tolist(), stops.tolist(), strict=True)), dtype=np.uint64, count=len(got))
+                    place = (got - w.first[doc]).astype(np.int32)
+                    order = np.lexsort((got, digests, doc))
+                    same = (doc[order][1:] == doc[order][:-1]) & (digests[order][1:] == digests[order][:-1])
+                    late = np.zeros(len(got), dtype=bool)
+                    late[order[1:][same]] = True
+                    # what a text repeats is late already: only its first windows meet other documents
+                    repeats = {int(d): place[late & (doc == d)] for d in np.unique(doc[late])}
+                    got, kind, doc, place, digests, starts, stops = (v[~late] for v in (got, kind, doc, place, digests, starts, stops))
+                    heads = np.flatnonzero(np.concatenate([[True], (got[1:] != got[:-1] + 1) | (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1])]))
+                    tails = np.concatenate([heads[1:], [len(got)]])
+                    whole = np.fromiter((one(blob[s:e]) for s, e in zip(starts[heads].tolist(), stops[tails - 1].tolist(), strict=True)), dtype=np.uint64, count=len(heads))
+                    twice = [repeats.pop(d, None) for d in doc[heads].tolist()] if repeats else [None] * len(heads)
+                    cols = [
+                        pa.array(kind[heads].view(np.int64)), pa.array(whole.view(np.int64)), ids.take(pa.array(doc[heads] + at)), pa.array(place[heads]), pa.array((tails - heads).astype(np.int32)),
+                        pa.array([digests[a:b].tobytes() for a, b in zip(heads.tolist(), tails.tolist(), strict=True)], pa.binary()), pa.array(twice, pa.list_(pa.int32())),
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=[x.name for x in schema.fields])
+
+    return df.mapInArrow(run, schema)
+
+
+def _unpacked(df: DataFrame) -> DataFrame:
+    """(print, digest, _id, start, n) of the single windows of stretches."""
+    schema = T.StructType([df.schema["print"], T.StructField("digest", T.LongType()), df.schema["_id"], *T.StructType.fromDDL("start int, n int").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            n = part.column("n").to_numpy()
+            rows = np.repeat(np.arange(len(n)), n)
+            inner = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            digests = np.frombuffer(b"".join(part.column("windows").to_pylist()), dtype=np.int64)
+            take = pa.array(rows)
+            start = (part.column("start").to_numpy()[rows] + inner).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column("print").take(take), pa.array(digests), part.column("_id").take(take), pa.array(start), pa.array(np.ones(len(rows), dtype=np.int32))], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
 
-def _covered(n: int, starts: np.ndarray) -> np.ndarray:
-    """Which of n words the windows from `starts` cover."""
-    edge = np.zeros(n + WINDOW + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + WINDOW, -1)
+def _later(rows: DataFrame) -> DataFrame:
+    """rows with `late`: whether a smaller id has the same print and digest. A null id is larger than all others."""
+    least = rows.groupBy("print", "digest").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).filter("_n > 1 AND _least IS NOT NULL")
+    least = least.select(F.col("print").alias("_p"), F.col("digest").alias("_d"), "_least")
+    met = rows.join(least, (F.col("print") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
+    return met.withColumn("late", F.col("_least").isNotNull() & (F.col("_id").isNull() | (F.col("_id") > F.col("_least")))).drop("_p", "_d", "_least")
+
+
+def _covered(n: int, runs: np.ndarray) -> np.ndarray:
+    """Which of n words the runs of windows (start, number) cover."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, runs[:, 0], 1)
+    np.add.at(edge, runs[:, 0] + runs[:, 1] + WINDOW - 1, -1)
     return np.cumsum(edge)[:n] > 0
 
 
@@ -193,8 +243,8 @@ def _cleaned(df: DataFrame, columns: list[T.StructField]) -> DataFrame:
                     if copies and n >= WINDOW and xxhash.xxh3_128_digest(b" ".join(words)) in copies:
                         gone[:] = True
                     elif starts.is_valid:
-                        s = np.unique(starts.values.to_numpy(zero_copy_only=False).astype(np.int64))
-                        gone = _covered(n, s[s <= n - WINDOW])
+                        runs = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in starts.values.flatten()], axis=1)
+                        gone = _covered(n, runs[runs.sum(axis=1) + WINDOW - 1 <= n])
                     sizes.append(n)
                     removed.append(int(gone.sum()))
                     left = words if not gone.any() else [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
@@ -240,15 +290,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", ba
     behind = live.select("_id", F.explode("prints").alias("print")).join(hits, F.col("print") == F.col("_hit"), "left_semi")
     behind = cut(behind.groupBy("_id").agg(F.collect_set("print").alias("prints")))
     index.drop()
+    scratch.drop(marks)
+    del live, marks, hits, found, rows, part, firsts, index
+    release(spark)
     need = behind.select(F.col("_id").alias("_b"), "prints")
-    # a copy that shares its id with another text only adds windows that its first document has too
-    windows = scratch.write(_windows_behind(docs.join(need, F.col("_id").eqNullSafe(F.col("_b"))).select("_id", "_text", "prints")))
-    at = F.struct(F.col("_id").isNull().alias("o"), F.col("_id").alias("i"), F.col("start").alias("s"))
-    least = windows.groupBy("digest").agg(F.min(at).alias("least"), F.max(at).alias("most")).filter("least <> most").select(F.col("digest").alias("_d"), "least")
-    late = windows.join(least, F.col("digest") == F.col("_d")).filter(at > F.col("least"))
-    late = late.groupBy("_id").agg(F.collect_set("start").alias("starts"))
-    late = cut(late)
-    scratch.drop(windows)
+    stretches = scratch.write(_stretches(docs.join(need, F.col("_id").eqNullSafe(F.col("_b"))).select("_id", "_text", "prints")))
+    del need, behind
+    release(spark)
+    # equal stretches settle all their windows; a fingerprint with different stretches is settled window by window
+    whole = _later(stretches.select("print", "digest", "_id", "start", "n")).filter("late").select("_id", "start", "n")
+    mixed = stretches.groupBy("print").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select(F.col("print").alias("_m"))
+    single = _unpacked(stretches.join(mixed, F.col("print") == F.col("_m"), "left_semi").select("print", "_id", "start", "n", "windows"))
+    single = scratch.write(single)
+    late = whole.union(_later(single).filter("late").select("_id", "start", "n"))
+    late = late.union(stretches.filter("again IS NOT NULL").select("_id", F.explode("again").alias("start"), F.lit(1).alias("n")))
+    late = cut(late.groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("starts")))
+    scratch.drop()
+    del whole, mixed, single, stretches
+    release(spark)
     marked = late.join(copies.groupBy("_id").agg(F.collect_set("key").alias("copies")).withColumnRenamed("_id", "_x"), F.col("_id").eqNullSafe(F.col("_x")), "full")
     marked = cut(marked.select(F.coalesce("_id", "_x").alias("_m"), "starts", "copies"))
     met = docs.join(marked, F.col("_id").eqNullSafe(F.col("_m")), "left").select("_id", "_text", "starts", "copies")
