@@ -5,7 +5,7 @@
 3. Bands of ROWS samples give buckets. In a bucket of up to SMALL nodes every pair is a candidate; in
    a larger one every node meets the bucket's pivot (the least under a hash of its band, so bands
    have different pivots), and nodes that end in another component than their pivot go on to
-   buckets with two more samples, in REFINE ways.
+   buckets with DEEPER more samples, in REFINE ways.
 4. Candidates are verified on whole shingle sets, first the best one of each node; pairs that a
    component already joins need no verification. Links become classes by star contraction.
 
@@ -16,6 +16,7 @@ common shingles count as frequent).
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,19 +29,20 @@ from pyspark.sql import types as T
 
 from weftgraph.llm.words import Words, canonical, chunks
 from weftgraph.operators.components import star_components
-from weftgraph.runtime import Scratch, cut, ship_package
+from weftgraph.runtime import Scratch, cut, release, ship_package
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: Candidates agree in this share of their samples: at similarity 0.8 a pair falls below with a chance of 1e-5.
 AGREE = 0.5
-SMALL, REFINE = 24, 8
+SMALL, REFINE, DEEPER = 24, 6, 4
 #: Counters of the document-count table, a fixed size, dealt in slices.
 TABLE_BITS, SLICES = 20, 128
 #: Weight of the rarest shingle is 1 + SPREAD times that of one found everywhere.
 SPREAD = 0.25
 
+log = logging.getLogger(__name__)
 _LOG = -np.log((np.arange(65536, dtype=np.float32) + 0.5) / 65536).astype(np.float32)
 
 
@@ -260,35 +262,45 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "t
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"))
     members = cut(members.select("bucket", "key").join(shared, F.col("bucket") == F.col("_b"), "left_semi"))
     members = cut(members.join(nodes.select(F.col("key").alias("_k"), "sig"), F.col("key") == F.col("_k")).select("bucket", "key", "sig"))
-    links, comps, vectors, level = None, None, None, 0
+    del shared
+    release(spark)
+    links, comps, vectors, tested, level = None, None, None, None, 0
     while True:
         pairs, large = _candidates(members)
-        pairs = cut(pairs)
         if comps is not None:
-            pairs = cut(_apart(pairs, comps))
+            pairs = _apart(pairs, comps)
+            pairs = _without(pairs, tested)
+        pairs = cut(pairs)
         if pairs.isEmpty():
             if comps is None:
                 break
         else:
             vectors = _with_vectors(texts, nodes, pairs, vectors)
             best = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
+            best = cut(best)
             found = cut(_verified(best, vectors, idf, threshold))
-            links = found if links is None else cut(links.union(found))
+            links = found if links is None else links.union(found)
             comps = cut(star_components(links, "a", "b"))
-            rest = pairs.select("a", "b").join(best.select(F.col("a").alias("_a"), F.col("b").alias("_b")), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-            rest = cut(_apart(rest, comps))
+            release(spark)
+            rest = cut(_apart(_without(pairs.select("a", "b"), best), comps))
+            tested = best if tested is None else tested.union(best)
             if not rest.isEmpty():
+                tested = tested.union(rest)
                 found = cut(_verified(rest, vectors, idf, threshold))
-                links = cut(links.union(found))
+                links = links.union(found)
                 comps = cut(star_components(links, "a", "b"))
+                release(spark)
+        log.info("level %d: %d members", level, members.count()) if log.isEnabledFor(logging.INFO) else None
         level += 1
         left = _labelled(_labelled(large, comps, "key", "ck"), comps, "pivot", "cp").filter("ck <> cp").select("bucket", "key", "sig") if comps is not None else large.select("bucket", "key", "sig")
         rng = np.random.default_rng(level)
         ways = []
         for j in range(REFINE):
-            x, y = (int(v) for v in rng.choice(SAMPLES, 2, replace=False))
-            ways.append(F.xxhash64(F.col("bucket"), F.lit(level), F.lit(j), F.col("sig")[x], F.col("sig")[y]))
+            more = [F.col("sig")[int(v)] for v in rng.choice(SAMPLES, DEEPER, replace=False)]
+            ways.append(F.xxhash64(F.col("bucket"), F.lit(level), F.lit(j), *more))
         members = cut(left.select("key", "sig", F.explode(F.array(*ways)).alias("bucket")).select("bucket", "key", "sig"))
+        del pairs, large, left
+        release(spark)
         if members.isEmpty():
             break
     own = signed.select(F.col("_id"), "key")
@@ -307,6 +319,11 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "t
     )
 
 
+def _without(pairs: DataFrame, done: DataFrame) -> DataFrame:
+    d = done.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return pairs.join(d, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs that no component joins yet."""
     return _labelled(_labelled(pairs, comps, "a", "_ca"), comps, "b", "_cb").filter("_ca <> _cb").drop("_ca", "_cb")

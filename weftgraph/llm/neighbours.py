@@ -22,70 +22,70 @@ from pyspark.sql import types as T
 from weftgraph.runtime import ship_package
 
 K, EVERY = 5, 50
-PROJECTIONS, SEED = 48, 11
+PROJECTIONS, SEED = 32, 11
 #: Vectors of one block and queries of one batch; either bounds a task's memory.
 BLOCK, QUERIES = 4096, 512
 #: Share of the projections in which a vector must collide.
 THRESHOLD = 0.5
 #: Half width of the first windows in units of a projection's spread, and the factor of each widening.
-WIDTH, RATIO = 0.35, 1.5
+WIDTH, RATIO = 0.8, 1.2
 #: A round ends a block's search once it has verified this many vectors times k, if the k-th best lies in the radius.
 LEAST = 8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+    return x / norms(x)[:, None]
 
 
 def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine of each row of x with q in double precision, the same for equal rows wherever they stand."""
-    return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
+    return (x * q).sum(axis=1) / (norms(x) * np.sqrt((q * q).sum()))
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x * x).sum(axis=1))
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, vector id, score) of the k nearest that each query finds among the vectors."""
     dim = x.shape[1]
     a = np.random.default_rng(SEED).standard_normal((dim, PROJECTIONS)) / math.sqrt(dim)
-    u, v = _unit(x), _unit(q)
-    hashes, own = u @ a, v @ a
-    order = np.argsort(hashes, axis=0, kind="stable")
-    lines = [np.ascontiguousarray(hashes[order[:, i], i]) for i in range(PROJECTIONS)]
-    spread = 1 / math.sqrt(dim)
-    need = math.ceil(THRESHOLD * PROJECTIONS)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for n in range(len(q)):
-        count = np.zeros(len(x), dtype=np.int16)
-        score = np.full(len(x), -np.inf)
-        low = high = None
-        width = WIDTH
-        while True:
-            half = width * spread
-            edges = [np.searchsorted(lines[i], (own[n, i] - half, own[n, i] + half), side="left") for i in range(PROJECTIONS)]
-            for i, (s, e) in enumerate(edges):  # only what the windows gained
+    hashes, own = (_unit(x) @ a).T, (_unit(q) @ a).T
+    order = np.argsort(hashes, axis=1, kind="stable")
+    lines = np.take_along_axis(hashes, order, axis=1)
+    spread, need = 1 / math.sqrt(dim), math.ceil(THRESHOLD * PROJECTIONS)
+    lengths, q_lengths = norms(x), norms(q)
+    count = np.zeros((len(q), len(x)), dtype=np.int16)
+    score = np.full((len(q), len(x)), -np.inf)
+    done: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(q)
+    active, width, low, high = np.arange(len(q)), WIDTH, None, None
+    while len(active):
+        half = width * spread
+        new_low, new_high = (np.stack([np.searchsorted(lines[i], own[i] + side) for i in range(PROJECTIONS)]) for side in (-half, half))
+        ended = []
+        for n in active.tolist():
+            c, s = count[n], score[n]
+            for i in range(PROJECTIONS):  # only what the windows gained
                 if low is None:
-                    count[order[s:e, i]] += 1
+                    c[order[i, new_low[i, n] : new_high[i, n]]] += 1
                 else:
-                    count[order[s : low[i], i]] += 1
-                    count[order[high[i] : e, i]] += 1
-            low, high = [e[0] for e in edges], [e[1] for e in edges]
-            new = np.flatnonzero((count >= need) & np.isneginf(score))
+                    c[order[i, new_low[i, n] : low[i, n]]] += 1
+                    c[order[i, high[i, n] : new_high[i, n]]] += 1
+            new = np.flatnonzero((c >= need) & np.isneginf(s))
             if len(new):
-                score[new] = cosine(x[new], q[n])
-            seen = np.flatnonzero(~np.isneginf(score))
+                s[new] = (x[new] * q[n]).sum(axis=1) / (lengths[new] * q_lengths[n])
+            seen = np.flatnonzero(s > -np.inf)
             seen = seen[ids[seen] != qids[n]]
-            whole = all(s == 0 for s in low) and all(e == len(x) for e in high)
-            if whole:
-                break
-            if len(seen) >= max(k, LEAST * k):
-                kth = np.sort(score[seen])[-k]
-                if 2 - 2 * kth <= width * width:  # squared distance of unit vectors
-                    break
-            width *= RATIO
-        best = seen[np.lexsort((ids[seen], -score[seen]))[:k]]
-        out.append((np.full(len(best), qids[n]), ids[best], score[best]))
-    if not out:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+            close = len(seen) >= LEAST * k and 2 - 2 * np.partition(s[seen], -k)[-k] <= width * width  # squared distance of unit vectors
+            if close or (not new_low[:, n].any() and (new_high[:, n] == len(x)).all()):
+                done[n] = seen[np.lexsort((ids[seen], -s[seen]))[:k]]
+                ended.append(n)
+        low, high, width = new_low, new_high, width * RATIO
+        active = np.setdiff1d(active, ended)
+    sizes = [len(b) for b in done]
+    best = np.concatenate(done) if done else np.empty(0, dtype=np.int64)
+    rows = np.repeat(np.arange(len(q)), sizes)
+    return qids[rows], ids[best], score[rows, best]
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", every: int = EVERY, k: int = K) -> DataFrame:
