@@ -57,16 +57,20 @@ class MergeAutomaton:
         self.labels = [""] * (max(vocab.values(), default=-1) + 1)
         for token, i in vocab.items():
             self.labels[i] = token
-        n = len(self.labels)
+        n, self.suffix = len(self.labels), suffix
         self.made = [-1] * n  # when a token was made; base symbols: -1
         self.left, self.right = [-1] * n, [-1] * n
         self.removed: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # own removals of a state: (time, label)
+        gone: list[dict[int, int]] = [{} for _ in range(n)]  # the same by label
         branches: list[list[int]] = [[] for _ in range(n)]
         for m, (a, b) in enumerate(merges):
             ia, ib, ic = vocab[a], vocab[b], vocab[(a + b)]
             if self.made[ic] >= 0 or ic in (ia, ib):
                 raise ValueError(f"merge {m} makes {a + b!r} again; the automaton would not be deterministic")
+            if not self._met(ia, ib, gone):
+                continue  # no path reads a and then b, so the gadget adds nothing
             self.removed[ia].append((m, ib))
+            gone[ia][ib] = m
             self.made[ic], self.left[ic], self.right[ic] = m, ia, ib
             branches[ia].append(ic)
         self.first, ends = [0] * n, [0] * n
@@ -96,7 +100,7 @@ class MergeAutomaton:
         for token, i in vocab.items():
             last = bool(suffix) and token.endswith(suffix)
             body = token[: len(token) - len(suffix)] if last else token
-            if not body or any(c not in back for c in body):
+            if not body or any(c not in back for c in body) or (len(body) > 1 and self.made[i] < 0):
                 continue
             node = 0
             for k, c in enumerate(body):
@@ -107,6 +111,23 @@ class MergeAutomaton:
             self.token_at[node] = i
         self.final = 256 if suffix else 0
 
+    def _met(self, a: int, b: int, gone: list[dict[int, int]]) -> bool:
+        """Whether a and b are both made (or base symbols) and b leaves the state of a just now."""
+        base = lambda t: len(self.labels[t].removesuffix(self.suffix) if self.suffix else self.labels[t]) == 1
+        if any(self.made[t] < 0 and not base(t) for t in (a, b)):
+            return False
+        chain, x, since = [], b, 1 << 60
+        while x >= 0:
+            chain.append((x, since))
+            x, since = self.left[x], self.made[x]
+        x, limit = a, 1 << 60
+        while x >= 0:
+            if (own := gone[x]) and any(own.get(v, limit) < limit and own[v] <= t for v, t in chain):
+                return False
+            limit = min(limit, self.made[x]) if self.made[x] >= 0 else limit
+            x = self.right[x]
+        return True
+
     def row(self, u: int) -> tuple[list[int], list[int]]:
         """Missing arcs of u's state, as disjoint sorted intervals of label numbers."""
         if (got := self.rows[u]) is not None:
