@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,4 +37,5 @@ def star_components(edges: DataFrame, src: Column | str = "src", dst: Column | s
             break
         last = (sign["n"], sign["s"])
         e = cut(_star(_star(e, large=True), large=False))
+        release(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
