@@ -270,6 +270,28 @@ def test_large_group_of_near_copies(spark):
     assert got == brute_classes(rows)
 
 
+def test_group_around_the_threshold(spark):
+    rng = random.Random(12)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(150)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(150)] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) and len(set(got.values())) > 20
+
+
+def test_prefix_leaves_less_than_the_threshold():
+    rng = np.random.default_rng(4)
+    weigh = minhash.Idf(np.ones(1 << minhash.TABLE_BITS), 10)
+    for n in (1, 2, 5, 10, 33):
+        vec = rng.integers(0, 2**32, n, dtype=np.uint32)
+        got = minhash.prefix(vec.tobytes(), np.zeros(1 << minhash.TABLE_BITS), weigh, 0.8)
+        assert n - len(got) < 0.8 * n <= n - len(got) + 1
+
+
 def test_near_duplicates_on_odd_rows(spark, odd):
     got = minhash.near_duplicate_classes(clashing(odd)).collect()
     assert len(got) == len(ODD) and {r.class_id for r in got if r.doc_id == 1} == {1}

@@ -2,10 +2,14 @@
 
 1. A fixed-size table of document counts by shingle hash is summed over the corpus.
 2. Each text gets SAMPLES consistent weighted samples. Texts with the same words are one node.
-3. Bands of ROWS samples give buckets. In a bucket of up to SMALL nodes every pair is a candidate; in
-   a larger one every node meets the bucket's pivot (the least under a hash of its band, so bands
-   have different pivots), and nodes that end in another component than their pivot go on to
-   buckets with DEEPER more samples, in REFINE ways.
+3. Bands of ROWS samples give buckets. In a bucket of up to SMALL nodes every pair that agrees in
+   AGREE of the samples is a candidate; in a larger one every node meets those of the bucket's PIVOTS (drawn by
+   hash, so bands have different ones) that agree with it best. Nodes of larger buckets that then still hold
+   several components go on to a prefix filter: each is put under its rarest shingles, as many as
+   leave less than the threshold to all others, so that two similar texts share one of them for certain. Groups
+   of several components are searched like buckets; those that keep several after that are compared in full, by
+   counting the shingles that each node outside the group's largest component shares with all others. Groups of more than
+   BLOCK nodes meet new pivots first, and BLOCK doubles with each level, so this ends.
 4. Candidates are verified on whole shingle sets, first the best one of each node; pairs that a
    component already joins need no verification. Links become classes by star contraction.
 
@@ -21,13 +25,14 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.words import Words, canonical, chunks
+from weftgraph.llm.words import Words, canonical, chunks, mix64
 from weftgraph.operators.components import star_components
 from weftgraph.runtime import Scratch, cut, release, ship_package
 
@@ -36,7 +41,9 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: Candidates agree in this share of their samples: at similarity 0.8 a pair falls below with a chance of 1e-5.
 AGREE = 0.5
-SMALL, REFINE, DEEPER = 24, 6, 4
+SMALL, PIVOTS, BEST, BLOCK = 24, 8, 3, 2048
+#: Bits of the filter of wanted ids for each of them, and at most (16 MB).
+FILTER_BITS, FILTER_MOST = 16, 1 << 27
 #: Counters of the document-count table, a fixed size, dealt in slices.
 TABLE_BITS, SLICES = 20, 128
 #: Weight of the rarest shingle is 1 + SPREAD times that of one found everywhere.
@@ -129,18 +136,32 @@ def similarity(a: bytes, b: bytes, idf: Idf) -> tuple[float, float]:
     return (low / high if high else 0.0), (len(both) / plain if plain else 0.0)
 
 
-def _count_table(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by shingle hash over all texts, and the number of documents; the result's size is fixed."""
+def _of_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(texts, their different shingles)."""
+    for at in range(0, len(column), 512):
+        part = [canonical(v) for v in column.slice(at, 512).to_pylist()]
+        found = [_unique(h, counts)[0] for _, h, counts in shingles(part)]
+        yield len(part), np.concatenate(found) if found else np.empty(0, dtype=np.uint32)
+
+
+def _of_vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    for v in column:
+        yield 1, np.unique(np.frombuffer(v.as_buffer(), dtype=np.uint32))
+
+
+def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
+    """Texts by shingle hash over all rows of one column, and the number of texts; the result's size is fixed."""
     size, width = 1 << TABLE_BITS, (1 << TABLE_BITS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, docs = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = [canonical(v) for v in batch.column(0).slice(at, 512).to_pylist()]
-                docs += len(part)
-                for _, h, counts in shingles(part):
-                    table += np.bincount(_unique(h, counts)[0] & np.uint32(size - 1), minlength=size)
+            for n, hashes in different(batch.column(0)):
+                docs += n
+                if len(hashes) > 1 << 15:
+                    table += np.bincount(hashes & np.uint32(size - 1), minlength=size)
+                else:
+                    np.add.at(table, hashes & np.uint32(size - 1), 1)
         if docs:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(-1, SLICES), pa.int32()), pa.array([np.int64(docs).tobytes(), *(table[k * width : (k + 1) * width].astype(np.int32).tobytes() for k in range(SLICES))], pa.binary())],
@@ -156,9 +177,9 @@ def _count_table(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, int
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
     kind = "slice int, counts binary"
-    rows = texts.mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
+    found = rows.mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
     table, docs = np.zeros(size, dtype=np.int64), 0
-    for r in rows:
+    for r in found:
         v = np.frombuffer(r["counts"], dtype=np.int64)
         if r["slice"] < 0:
             docs += int(v[0])
@@ -167,11 +188,47 @@ def _count_table(spark: SparkSession, texts: DataFrame) -> tuple[np.ndarray, int
     return table, docs
 
 
+def prefix(vec: bytes, rank: np.ndarray, weigh: Idf, threshold: float) -> np.ndarray:
+    """The rarest shingles (by rank, then hash) of a text that leave less than the threshold, plain and weighted, to its others."""
+    u, tf = np.unique(np.frombuffer(vec, dtype=np.uint32), return_counts=True)
+    order = np.lexsort((u, rank[u & np.uint32((1 << TABLE_BITS) - 1)]))
+    w = (weigh(u) * tf)[order]
+    left = w.sum() - np.cumsum(w)  # behind the first k + 1
+    plain = len(u) - int(np.ceil(threshold * len(u) - 1e-9)) + 1
+    k = max(plain, int(np.argmax(left < (threshold - 1e-6) * w.sum())) + 1)
+    return u[order[:k]]
+
+
+def _prefixes(vectors: DataFrame, rank: np.ndarray, idf, threshold: float) -> DataFrame:
+    """(bucket, key) of every shingle in a node's prefix that another node may have (one counted once is its own)."""
+    shared = vectors.sparkSession.sparkContext.broadcast(rank)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = Idf(*idf.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [prefix(v.as_buffer(), shared.value, weigh, threshold) for v in part.column("vec")]
+                found = [f[shared.value[f & np.uint32((1 << TABLE_BITS) - 1)] > 1] for f in found]
+                rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), part.column("key").take(pa.array(rows))], names=["bucket", "key"])
+
+    return vectors.select("key", "vec").mapInArrow(run, "bucket long, key binary")
+
+
+def _banded(samples: np.ndarray) -> np.ndarray:
+    """The bucket of each band of ROWS samples: int64[texts, BANDS]."""
+    h = np.arange(BANDS, dtype=np.uint64)[None, :].repeat(len(samples), axis=0)
+    for r in range(ROWS):
+        h = mix64(h ^ samples[:, r::ROWS].astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+    return h.view(np.int64)
+
+
 def _signed(df: DataFrame, text: str, idf) -> DataFrame:
-    """(_id..., key, sig): the digest of a text's words (null: none) and its samples."""
+    """(_id..., key, bands, sig): the digest of a text's words (null: none), its buckets, and a byte of each sample."""
     kept = [c for c in df.columns if c != text]
     fields = [f for f in df.schema.fields if f.name != text]
-    schema = T.StructType([*fields, T.StructField("key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*fields, T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ByteType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Idf(*idf.value)
@@ -180,14 +237,15 @@ def _signed(df: DataFrame, text: str, idf) -> DataFrame:
                 part = batch.slice(at, 1024)
                 texts = [canonical(v) for v in part.column(text).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(t) if t else None for t in texts]
-                sigs: list = [None] * len(texts)
+                sigs, bands = [None] * len(texts), [None] * len(texts)
                 for first, h, counts in shingles(texts):
                     u, tf, n = _unique(h, counts)
                     some = np.flatnonzero(n)
-                    for i, s in zip(some, icws(u, weigh(u) * tf, n[some]).view(np.int32), strict=True):
-                        sigs[first + i] = s
-                cols = [*(part.column(c) for c in kept), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays(cols, names=[*kept, "key", "sig"])
+                    drawn = icws(u, weigh(u) * tf, n[some])
+                    for i, b, s in zip(some, _banded(drawn), (drawn & np.uint32(255)).astype(np.uint8).view(np.int8), strict=True):
+                        bands[first + i], sigs[first + i] = b, s
+                cols = [*(part.column(c) for c in kept), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int8()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*kept, "key", "bands", "sig"])
 
     return df.mapInArrow(run, schema)
 
@@ -213,23 +271,25 @@ def _vectors(df: DataFrame, text: str) -> DataFrame:
     return df.select("key", text).mapInArrow(run, "key binary, vec binary").dropDuplicates(["key"])
 
 
-def _agreement(a: str, b: str):
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> int(x = y)), 0, (s, x) -> s + x)")
+#: SQL for the samples that two nodes share.
+AGREEMENT = "aggregate(zip_with({}, {}, (s, t) -> int(s = t)), 0, (n, v) -> n + v)"
 
 
-def _candidates(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((a, b, agree), (bucket, key, sig, pivot)): candidate pairs, and the members of large buckets."""
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key", "sig")).alias("p")).filter("n > 1")
-    sizes = sizes.select(F.col("bucket").alias("_bucket"), "n", F.col("p.key").alias("pivot"), F.col("p.sig").alias("psig"))
+def _candidates(members: DataFrame, small: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """((a, b, agree), (bucket, key, sig)): candidate pairs of different components c, and the members of buckets of more than `small`."""
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_bucket"), "n")
     met = members.join(sizes, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    large = met.filter(F.col("n") > SMALL)
-    pivots = large.filter(F.col("key") != F.col("pivot")).select(F.col("key").alias("a"), F.col("pivot").alias("b"), _agreement("sig", "psig").alias("agree"))
-    groups = met.filter(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "sig"))).alias("m"))
-    pairs = groups.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x.key AS a, y.key AS b, x.sig AS s, y.sig AS t))))")).alias("p"))
-    pairs = pairs.select("p.a", "p.b", _agreement("p.s", "p.t").alias("agree"))
-    both = pivots.union(pairs).filter(F.col("agree") >= AGREE * SAMPLES)
-    ordered = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "agree").distinct()
-    return ordered, large.select("bucket", "key", "sig", "pivot")
+    large = cut(met.filter(F.col("n") > small).select("bucket", "key", "sig", "c"))
+    drawn = large.groupBy("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("key", "bucket", F.lit(seed)).alias("h"), "key", "sig", "c")).alias("p"))
+    drawn = drawn.groupBy(F.col("bucket").alias("_bucket")).agg(F.collect_list(F.struct("p.key", "p.sig", "p.c")).alias("pivots"))  # PIVOTS at most
+    near = F.filter(F.transform("pivots", lambda p: F.struct(F.aggregate(F.zip_with("sig", p["sig"], lambda s, t: (s == t).cast("int")), F.lit(0), lambda n, v: n + v).alias("agree"), p["key"].alias("key"), p["c"].alias("c"))), lambda p: (p["agree"] >= AGREE * SAMPLES) & (p["c"] != F.col("c")))
+    best = large.join(drawn, F.col("bucket") == F.col("_bucket")).select(F.col("key").alias("a"), F.explode(F.slice(F.sort_array(near, asc=False), 1, BEST)).alias("p"))
+    best = best.select("a", F.col("p.key").alias("b"), "p.agree")
+    groups = met.filter(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "sig", "c"))).alias("m"))
+    each = f"transform(filter(slice(m, i + 2, size(m)), y -> y.c <> x.c), y -> struct(x.key AS a, y.key AS b, {AGREEMENT.format('x.sig', 'y.sig')} AS agree))"
+    pairs = groups.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> filter({each}, z -> z.agree >= {AGREE * SAMPLES})))")).alias("p")).select("p.a", "p.b", "p.agree")
+    ordered = best.union(pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "agree").distinct()
+    return ordered, large
 
 
 def _labelled(df: DataFrame, comps: DataFrame, key: str, out: str) -> DataFrame:
@@ -249,32 +309,23 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "t
     spark = df.sparkSession
     ship_package(spark)
     texts = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    table, n_docs = _count_table(spark, texts.select("_text"))
+    table, n_docs = _count_table(texts.select("_text"), _of_texts)
     idf = spark.sparkContext.broadcast((table, n_docs))
     scratch = Scratch(spark, "minhash")
     signed = scratch.write(_signed(texts, "_text", idf))
-    nodes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("rep"), F.min("sig").alias("sig"))
+    nodes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig"))
     nodes = scratch.write(nodes)
-    members = nodes.select(
-        "key", "sig", F.explode(F.array(*(F.xxhash64(F.lit(b), *(F.col("sig")[b * ROWS + r] for r in range(ROWS))) for b in range(BANDS)))).alias("bucket")
-    )
-    # only buckets of two or more carry samples on
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"))
-    members = cut(members.select("bucket", "key").join(shared, F.col("bucket") == F.col("_b"), "left_semi"))
-    members = cut(members.join(nodes.select(F.col("key").alias("_k"), "sig"), F.col("key") == F.col("_k")).select("bucket", "key", "sig"))
-    del shared
+    members = nodes.select("key", F.explode("bands").alias("bucket"))
+    members = _with_signs(members, nodes).withColumn("c", F.col("key"))
     release(spark)
     links, comps, vectors, tested, level = None, None, None, None, 0
     while True:
-        pairs, large = _candidates(members)
+        pairs, large = _candidates(members, SMALL, level)
         if comps is not None:
             pairs = _apart(pairs, comps)
             pairs = _without(pairs, tested)
         pairs = cut(pairs)
-        if pairs.isEmpty():
-            if comps is None:
-                break
-        else:
+        if not pairs.isEmpty():
             vectors = _with_vectors(texts, nodes, pairs, vectors)
             best = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
             best = cut(best)
@@ -292,14 +343,23 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "t
                 release(spark)
         log.info("level %d: %d members", level, members.count()) if log.isEnabledFor(logging.INFO) else None
         level += 1
-        left = _labelled(_labelled(large, comps, "key", "ck"), comps, "pivot", "cp").filter("ck <> cp").select("bucket", "key", "sig") if comps is not None else large.select("bucket", "key", "sig")
-        rng = np.random.default_rng(level)
-        ways = []
-        for j in range(REFINE):
-            more = [F.col("sig")[int(v)] for v in rng.choice(SAMPLES, DEEPER, replace=False)]
-            ways.append(F.xxhash64(F.col("bucket"), F.lit(level), F.lit(j), *more))
-        members = cut(left.select("key", "sig", F.explode(F.array(*ways)).alias("bucket")).select("bucket", "key", "sig"))
-        del pairs, large, left
+        members = cut(large if comps is None else _mixed(_labelled(large.drop("c"), comps, "key", "c")))
+        if level == 1 and not members.isEmpty():
+            hot = cut(members.select("key").distinct())
+            vectors = _with_vectors(texts, nodes, hot.select(F.col("key").alias("a"), F.col("key").alias("b")), vectors)
+            own = cut(vectors.join(hot.select(F.col("key").alias("_h")), F.col("key") == F.col("_h"), "left_semi"))
+            members = _with_signs(_prefixes(own, _count_table(own.select("vec"), _of_vectors)[0], idf, threshold), nodes)
+            members = cut(_mixed(_labelled(members, comps, "key", "c") if comps is not None else members.withColumn("c", F.col("key"))))
+        elif level > 1 and not members.isEmpty():
+            sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).select(F.col("bucket").alias("_b"), "n")
+            sized = cut(members.join(sizes, F.col("bucket") == F.col("_b")).drop("_b"))
+            most = BLOCK << (level - 2)
+            found = cut(_searched(sized.filter(F.col("n") <= most), vectors, idf, threshold))
+            links = found if links is None else links.union(found)
+            comps = cut(star_components(links, "a", "b"))
+            members = cut(_mixed(_labelled(sized.filter(F.col("n") > most).drop("n", "c"), comps, "key", "c")))
+            del sized
+        del pairs, large
         release(spark)
         if members.isEmpty():
             break
@@ -319,6 +379,19 @@ def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "t
     )
 
 
+def _with_signs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(bucket, key, sig) of the buckets of two or more members; only those carry samples on."""
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"))
+    members = cut(members.select("bucket", "key").join(shared, F.col("bucket") == F.col("_b"), "left_semi"))
+    return cut(members.join(nodes.select(F.col("key").alias("_k"), "sig"), F.col("key") == F.col("_k")).select("bucket", "key", "sig"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    some = members.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select(F.col("bucket").alias("_b"))
+    return members.join(some, F.col("bucket") == F.col("_b"), "left_semi")
+
+
 def _without(pairs: DataFrame, done: DataFrame) -> DataFrame:
     d = done.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
     return pairs.join(d, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
@@ -329,16 +402,90 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return _labelled(_labelled(pairs, comps, "a", "_ca"), comps, "b", "_cb").filter("_ca <> _cb").drop("_ca", "_cb")
 
 
+def _maybe(texts: DataFrame, id_col: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of texts whose id may be among the wanted ones, so that the join after it shuffles few texts.
+
+    A filter of FILTER_BITS bits for each wanted id, FILTER_MOST at most; a full filter keeps every row.
+    """
+    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * wanted.count() - 1).bit_length()))
+    width = bits // SLICES
+    places = wanted.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("p")).select((F.col("p") / width).cast("int").alias("slice"), F.col("p") % width)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slices, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for k in np.unique(slices).tolist():
+                found.setdefault(k, np.zeros(width, dtype=bool))[at[slices == k]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(v).tobytes() for v in found.values()], pa.binary())], names=["slice", "bits"])
+
+    table = np.zeros(bits // 8, dtype=np.uint8)
+    for r in places.repartition("slice").mapInArrow(fill, "slice int, bits binary").collect():
+        table[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] |= np.frombuffer(r["bits"], dtype=np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may(place: pd.Series) -> pd.Series:
+        p = place.to_numpy()
+        return pd.Series((shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return texts.filter(may(F.pmod(F.xxhash64(id_col), F.lit(bits))))
+
+
 def _with_vectors(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
     """Shingles of all nodes in pairs, besides those known already."""
     wanted = pairs.select(F.col("a").alias("_w")).union(pairs.select(F.col("b").alias("_w"))).distinct()
     if known is not None:
         wanted = wanted.join(known.select(F.col("key").alias("_k")), F.col("_w") == F.col("_k"), "left_anti")
     need = cut(nodes.join(wanted, F.col("key") == F.col("_w"), "left_semi").select("key", "rep"))
-    got = cut(_vectors(texts.join(need, F.col("_id").eqNullSafe(F.col("rep"))).select("key", "_text"), "_text"))
+    got = cut(_vectors(_maybe(texts, "_id", need, "rep").join(need, F.col("_id").eqNullSafe(F.col("rep"))).select("key", "_text"), "_text"))
     return got if known is None else reduce(DataFrame.union, [known, got])
 
 
+def _searched(members: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): all links between nodes of different components in each bucket, one task at a time holding one bucket."""
+    v = vectors.select(F.col("key").alias("_v"), "vec")
+    groups = members.select("bucket", "key", "c").join(v, F.col("key") == F.col("_v")).groupBy("bucket").agg(F.collect_list(F.struct("key", "c", "vec")).alias("m"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = Idf(*idf.value)
+        for batch in batches:
+            for group in batch.column("m"):
+                keys, comps, vecs = (c.to_pylist() for c in group.values.flatten())
+                a, b = linked(comps, vecs, weigh, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in a], pa.binary()), pa.array([keys[i] for i in b], pa.binary())], names=["a", "b"])
+
+    met = groups.select("m").mapInArrow(run, "a binary, b binary")
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def linked(comps: list[bytes], vecs: list[bytes], weigh: Idf, threshold: float) -> tuple[list[int], list[int]]:
+    """Pairs of one group's nodes in different components that reach the threshold; the first is outside the largest component."""
+    n = len(comps)
+    _, comp = np.unique(np.array([c.hex() for c in comps]), return_inverse=True)
+    parts = [np.unique(np.frombuffer(v, dtype=np.uint32), return_counts=True) for v in vecs]
+    sizes = np.array([len(u) for u, _ in parts])
+    owner, flat, tf = np.repeat(np.arange(n), sizes), np.concatenate([u for u, _ in parts]), np.concatenate([t for _, t in parts])
+    w = weigh(flat)
+    total = np.bincount(owner, w * tf, n)
+    order = np.argsort(flat, kind="stable")
+    shingle, start = np.unique(flat[order], return_index=True)
+    stop = np.append(start[1:], len(flat))
+    a, b = [], []
+    for i in np.flatnonzero(comp != np.bincount(comp).argmax()).tolist():
+        u, t = parts[i]
+        at = np.searchsorted(shingle, u)
+        lengths = stop[at] - start[at]
+        rows = order[np.repeat(start[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
+        plain = np.bincount(owner[rows], minlength=n)
+        low = np.bincount(owner[rows], w[rows] * np.minimum(tf[rows], np.repeat(t, lengths)), n)
+        score = np.maximum(plain / (sizes + sizes[i] - plain), low / (total + total[i] - low))
+        hits = np.flatnonzero((score >= threshold) & (comp != comp[i])).tolist()
+        a += [i] * len(hits)
+        b += hits
+    return a, b
+
+
 def _verified(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
     """(a, b) of the pairs at or above the threshold."""
     a = vectors.select(F.col("key").alias("_ka"), F.col("vec").alias("va"))
