@@ -21,6 +21,7 @@ common shingles count as frequent).
 from __future__ import annotations
 
 import logging
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -164,7 +165,7 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
                     np.add.at(table, hashes & np.uint32(size - 1), 1)
         if docs:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(-1, SLICES), pa.int32()), pa.array([np.int64(docs).tobytes(), *(table[k * width : (k + 1) * width].astype(np.int32).tobytes() for k in range(SLICES))], pa.binary())],
+                [pa.array(range(-1, SLICES), pa.int32()), pa.array([np.int64(docs).tobytes(), *(zlib.compress(table[k * width : (k + 1) * width].astype(np.int32).tobytes(), 1) for k in range(SLICES))], pa.binary())],
                 names=["slice", "counts"],
             )
 
@@ -172,7 +173,7 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = np.frombuffer(v.as_buffer(), dtype=np.int64 if k < 0 else np.int32).astype(np.int64)
+                v = np.frombuffer(v.as_buffer(), dtype=np.int64) if k < 0 else np.frombuffer(zlib.decompress(v.as_buffer()), dtype=np.int32).astype(np.int64)
                 sums[k] = sums[k] + v if k in sums else v
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
@@ -185,6 +186,7 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
             docs += int(v[0])
         else:
             table[r["slice"] * width : (r["slice"] + 1) * width] += v
+    release(rows.sparkSession)
     return table, docs
 
 
