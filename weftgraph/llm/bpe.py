@@ -31,6 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.resident import resident
 from weftgraph.runtime import ship_package
 
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -91,7 +92,7 @@ class MergeAutomaton:
                 stack += [(c, False) for c in branches[x]]  # popped youngest first
         for x in range(n):
             self.branch_ends[x] = ([self.made[c] for c in branches[x]], [ends[c] for c in branches[x]])
-        self.rows: list[tuple[list[int], list[int]] | None] = [None] * n
+        self.rows: list[tuple[array, array] | None] = [None] * n
         # trie over base symbols; the last one of a word carries the suffix
         symbols = byte_symbols()
         self.step: dict[int, int] = {}
@@ -128,7 +129,7 @@ class MergeAutomaton:
             x = self.right[x]
         return True
 
-    def row(self, u: int) -> tuple[list[int], list[int]]:
+    def row(self, u: int) -> tuple[array, array]:
         """Missing arcs of u's state, as disjoint sorted intervals of label numbers."""
         if (got := self.rows[u]) is not None:
             return got
@@ -143,7 +144,7 @@ class MergeAutomaton:
             limit = min(limit, self.made[x]) if self.made[x] >= 0 else limit
             x = self.right[x]
         spans.sort()
-        starts, stops = [], []
+        starts, stops = array("i"), array("i")
         for s, e in spans:
             if stops and s <= stops[-1]:
                 stops[-1] = max(stops[-1], e)
@@ -239,16 +240,9 @@ class WordTokenizer:
         return " ".join(map(self.labels.__getitem__, memoryview(ids).cast("I")))
 
 
-_loaded: dict[int, WordTokenizer] = {}
-
-
 def _tokenizer(spec) -> WordTokenizer:
     """One compiled tokenizer per worker process."""
-    key = hash(spec.value)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = WordTokenizer(spec.value)
-    return _loaded[key]
+    return resident(("bpe", hash(spec.value)), lambda: WordTokenizer(spec.value))
 
 
 def _mapped(df: DataFrame, column: str, out: str, kind: str, make, fn) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftgraph.llm.quality import held_out
+from weftgraph.llm.resident import resident
 from weftgraph.runtime import ship_package
 
 UNKNOWN = "und"
@@ -240,17 +241,10 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
     return train([(r[0], r[1]) for r in rows])
 
 
-_ready: dict[int, Tagger] = {}
-
-
 def _local(model) -> Tagger:
     """One tagger per worker process, so that its memo lasts."""
-    key = id(model) if not hasattr(model, "_id") else model._id
-    if getattr(model, "_id", None) is None or key not in _ready:
-        value = model.value
-        _ready.clear()
-        _ready[key] = Tagger(*value)
-    return _ready[key]
+    labels, _, weights, trans = model.value
+    return resident(("languages", *labels, zlib.crc32(weights.tobytes()), zlib.crc32(trans.tobytes())), lambda: Tagger(*model.value))
 
 
 def detect_languages(df: DataFrame, model: Tagger, text: str = "text") -> DataFrame:

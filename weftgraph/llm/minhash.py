@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgraph.llm.resident import vacate
 from weftgraph.llm.words import Words, canonical, chunks, mix64
 from weftgraph.operators.components import star_components
 from weftgraph.runtime import Scratch, cut, release, ship_package
@@ -155,6 +156,7 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
     size, width = 1 << TABLE_BITS, (1 << TABLE_BITS) // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         table, docs = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             for n, hashes in different(batch.column(0)):

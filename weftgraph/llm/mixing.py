@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftgraph.llm.permute import permute
+from weftgraph.llm.resident import vacate
 from weftgraph.runtime import cut, ship_package
 
 WEIGHTS, PASSES, BLOCK, SHARDS, SEED = (5.0, 2.0, 1.0), 3, 512, 8, 20240301
@@ -189,6 +190,7 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     at_text = fields.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)

@@ -1,0 +1,34 @@
+"""One large tool (a compiled tokenizer, a tagger with its memo) at a time in each Python worker.
+
+Workers outlive stages, so what an earlier stage loaded would else stay beside what the next one needs.
+"""
+
+from __future__ import annotations
+
+import ctypes
+import gc
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
+
+_held: dict[tuple, Any] = {}
+
+
+def resident(key: tuple, make: Callable[[], Any]) -> Any:
+    """The tool of this key; any other one is dropped before it is made."""
+    if key not in _held:
+        vacate()
+        _held[key] = make()
+    return _held[key]
+
+
+def vacate() -> None:
+    """Drop what is held and give unused memory back."""
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
