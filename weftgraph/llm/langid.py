@@ -29,7 +29,7 @@ UNKNOWN = "und"
 PER_LANGUAGE, MOST_LANGUAGES, LEXICON, BITS = 256, 200, 500, 17
 SEQUENCES, LENGTH, EPOCHS, RATE, L2 = 400, 96, 3, 0.5, 1e-4
 #: Words labelled together, and words whose scores a worker process keeps.
-WORDS_AT_ONCE, MEMO_WORDS = 1_000_000, 800_000
+WORDS_AT_ONCE, MEMO_WORDS = 400_000, 400_000
 SALTS = 32
 _STRIP = "«»„“”’‘…–—¿¡\u00a0"
 #: ASCII characters other than letters part words.
@@ -88,12 +88,12 @@ class Tagger:
     """Weights of features [2**BITS, labels] and transitions, with a memo of word factors."""
 
     def __init__(self, labels: list[str], lexicons: dict[str, int], weights: np.ndarray, trans: np.ndarray):
-        self.labels, self.lexicons, self.weights, self.trans = labels, lexicons, weights.astype(np.float32), np.exp(trans)
+        self.labels, self.lexicons, self.weights, self.trans = labels, lexicons, weights.astype(np.float32), np.exp(trans).astype(np.float32)
         self._reset()
 
     def _reset(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.table = np.empty((1024, len(self.labels)))
+        self.table = np.empty((1024, len(self.labels)), dtype=np.float32)
         self.letters = np.empty(1024, dtype=bool)
 
     def _learn(self, words: list[bytes]) -> None:
@@ -144,7 +144,7 @@ class Tagger:
             if group and (size >= WORDS_AT_ONCE or i == len(texts) - 1):
                 p, letters, counts = self.posteriors([w for _, w in group])
                 starts = np.cumsum(counts) - counts
-                sums = np.add.reduceat(p * letters[:, None], starts, axis=0)
+                sums = np.add.reduceat(p * letters[:, None], starts, axis=0, dtype=np.float64)
                 n = np.add.reduceat(letters.astype(np.int64), starts)
                 for (k, _), s, c in zip(group, sums, n, strict=True):
                     if c:
