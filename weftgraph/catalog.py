@@ -261,6 +261,13 @@ def _(g):
     return _shown(trace_to(g, g.symbols.filter("id LIKE 'S1%'"), depth=3))
 
 
+@query("flow_backward_all", FLOW.format(start="sym", edges="(SELECT DISTINCT dst AS src, src AS dst FROM edge WHERE edge_kind = 'Calls')", depth=10), recursive=True)
+def _(g):
+    from weftgraph.operators.flows import trace_to
+
+    return _shown(trace_to(g, g.symbols))
+
+
 @query("flow_dedup", FLOW.format(start="sym WHERE entry", edges="fe", depth=3).replace("SELECT entry, array_to_string(path[2:], '>') AS path, cyc AS is_cyclic FROM walk w", ", q AS (SELECT id, any_value(file || '::' || name) AS q FROM sym GROUP BY id), ends AS (SELECT w.*, a.q AS e, list_transform(path[2:], lambda x: x) AS steps FROM walk w JOIN q a ON a.id = entry").rstrip() + """),
 steps AS (SELECT rn, string_agg(q.q, '>' ORDER BY k) AS steps FROM (SELECT rn, unnest(steps) AS x, generate_subscripts(steps, 1) AS k FROM (SELECT *, row_number() OVER () AS rn FROM ends)) JOIN q ON q.id = x GROUP BY rn),
 named AS (SELECT r.e, s.steps FROM (SELECT *, row_number() OVER () AS rn FROM ends) r JOIN steps s USING (rn))
