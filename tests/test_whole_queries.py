@@ -34,3 +34,9 @@ def test_paths_back_from_every_symbol(spark):
     want = brute_paths([(r.dst, r.src) for r in g.callees().collect()], ids, 10)
     got = sorted((r.entry, r.path, r.is_cyclic) for r in catalog.QUERIES["flow_backward_all"](spark, SF).collect())
     assert got == want and {e[0] for e, _, _ in got} == set("SPCI") and max(p.count(">") for _, p, _ in got) == 9
+
+
+def test_callers_of_all_kinds_of_targets(spark):
+    want = sorted((r.dst, r.src) for r in project(spark, SF).calls().select("src", "dst").collect())
+    got = sorted((r.dst, r.src) for r in catalog.QUERIES["callers_all"](spark, SF).collect())
+    assert got == want and {d[0] for d, _ in got} == set("SPCI")

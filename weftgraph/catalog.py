@@ -56,6 +56,11 @@ def _(g):
     return g.callers().filter(F.col("dst").startswith("S"))
 
 
+@query("callers_all", "SELECT dst, src FROM edge WHERE edge_kind = 'Calls'")
+def _(g):
+    return g.callers()
+
+
 @query("importers", "SELECT dst, src FROM edge WHERE edge_kind = 'References'")
 def _(g):
     return g.importers()
