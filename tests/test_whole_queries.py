@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftgraph import catalog
+from weftgraph.operators import flows
 from weftgraph.sources.projection import project
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,29 @@ def test_callers_of_all_kinds_of_targets(spark):
     want = sorted((r.dst, r.src) for r in project(spark, SF).calls().select("src", "dst").collect())
     got = sorted((r.dst, r.src) for r in catalog.QUERIES["callers_all"](spark, SF).collect())
     assert got == want and {d[0] for d, _ in got} == set("SPCI")
+
+
+def talks(spark):
+    by = {}
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        by.setdefault(r.conv_id, []).append((r.turn, r.role))
+    return {c: sorted(t) for c, t in by.items()}
+
+
+def test_flows_to_the_real_end(spark):
+    want = sorted((f"T{c}_1", ">".join(f"T{c}_{k}" for k in range(2, len(t) + 1)), False) for c, t in talks(spark).items() if len(t) > 1)
+    got = sorted((r.entry, r.path, r.is_cyclic) for r in catalog.QUERIES["flow_forward_all"](spark, SF).collect())
+    assert got == want and max(p.count(">") for _, p, _ in got) >= 4  # deeper than flow_forward goes
+    name = lambda c, t: f"talk/c{c}.py::{t[1]}_{t[0]}"
+    want = sorted((name(c, t[0]), name(c, t[-1]), ">".join(name(c, x) for x in t[1:]), 1) for c, t in talks(spark).items() if len(t) > 1)
+    got = sorted((r.entry, r.exit, r.steps, r.n) for r in catalog.QUERIES["flow_dedup_all"](spark, SF).collect())
+    assert got == want
+
+
+def test_flows_of_the_projection_to_the_real_end(spark):
+    g = project(spark, SF)
+    entries = [r.id for r in flows.entry_points(g).collect()]
+    want = brute_paths([(r.src, r.dst) for r in flows.flow_edges(g).collect()], entries, flows.ALL_DEPTH)
+    rows = flows.all_flows(g).collect()
+    assert sorted((r.entry, ">".join(r.path), r.is_cyclic) for r in rows) == want
+    assert max(len(r.path) for r in rows) < flows.ALL_DEPTH and any(r.is_cyclic and len(r.path) > 6 for r in rows)

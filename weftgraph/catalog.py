@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import detectors as d
 from weftgraph.operators.graph import CodeGraph
-from weftgraph.sources.projection import DUCK, project
+from weftgraph.sources.projection import DUCK, conversation_graph, project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None, ctes: str = DUCK, recursive: bool = False):
-    """Register a query of the projected graph and its DuckDB text after the projection's CTEs."""
+def query(name: str, sql: str | None = None, ctes: str = DUCK, recursive: bool = False, source: Callable[[SparkSession, str], CodeGraph] = project):
+    """Register a query of the projected graph (or another source's) and its DuckDB text after the projection's CTEs."""
 
     def add(fn: Callable[[CodeGraph], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: fn(project(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(source(spark, sf_dir))
         if sql:
             ORACLE_SQL[name] = f"WITH {'RECURSIVE ' if recursive else ''}{ctes.strip()}{sql.strip() if sql.strip().startswith(',') else chr(10) + sql.strip()}"
         return fn
@@ -284,6 +284,21 @@ def _(g):
     return f.groupBy("entry", F.array_join(F.transform("steps", lambda s: s["entity"]), ">").alias("steps")).agg(F.count("*").alias("n"))
 
 
+@query("flow_forward_all", source=conversation_graph)
+def _(g):
+    from weftgraph.operators.flows import all_flows
+
+    return _shown(all_flows(g))
+
+
+@query("flow_dedup_all", source=conversation_graph)
+def _(g):
+    from weftgraph.operators.flows import all_flows, deduplicated, flow_entries
+
+    f = deduplicated(flow_entries(g, all_flows(g)))
+    return f.groupBy("entry", "exit", F.array_join(F.transform("steps", lambda s: s["entity"]), ">").alias("steps")).agg(F.count("*").alias("n"))
+
+
 @query("dependency_graph", """, e AS (SELECT a.file AS src, b.file AS dst FROM edge JOIN sym a ON a.id = edge.src JOIN sym b ON b.id = edge.dst WHERE a.file <> b.file),
 g AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight, bool_or(src > dst) AS back, bool_or(src < dst) AS forth FROM e GROUP BY ALL)
 SELECT CASE WHEN back AND NOT forth THEN b ELSE a END AS "from", CASE WHEN back AND NOT forth THEN a ELSE b END AS "to", weight, CASE WHEN back AND forth THEN 'bidirectional' ELSE 'unidirectional' END AS direction FROM g""")

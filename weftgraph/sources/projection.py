@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftgraph.operators.graph import CodeGraph, edge_kind
 
@@ -85,6 +86,19 @@ def project(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return g
 
 
+def conversation_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
+    """Each turn of a conversation calls the next one, and the first is an entry point; all paths of this graph end."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("cv"), F.col("turn").cast("long").alias("tn"), "role").distinct()
+    by = Window.partitionBy("cv").orderBy("tn", "role")
+    turns = turns.withColumns({"k": F.row_number().over(by), "more": F.lead("tn").over(by).isNotNull()})
+    s = _symbols(
+        turns, "concat('T', cv, '_', k)", "Function", "concat(coalesce(role, ''), '_', tn)", "concat('talk/c', cv, '.py')", "10 + k", "k",
+        annotations="CASE WHEN k = 1 THEN array('entry_point') ELSE cast(array() AS array<string>) END",
+    )
+    e = turns.filter("more").selectExpr("concat('T', cv, '_', k) AS src", "concat('T', cv, '_', k + 1) AS dst")
+    return CodeGraph.of(s, _refs(e, "Call", "'-'"))
+
+
 def _duck_lay(k: str) -> str:
     return f"CASE ({k}) % 3 WHEN 0 THEN 'api' WHEN 1 THEN 'service' ELSE 'db' END"
 
