@@ -416,6 +416,16 @@ def test_words_of_mixed_text(docs):
     assert sum(g == "en" for _, g, _ in found[: half - 2]) > 0.8 * (half - 2) and sum(g == "de" for _, g, _ in found[half + 2 :]) > 0.7 * (half - 2)
 
 
+def test_long_words_count_whole():
+    rng = random.Random(6)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    one, two = "山川日本人大", "ไทยกขคง"
+    model = langid.train([(" ".join(run(letters, 6) for _ in range(80)), lang) for letters, lang in ((one, "a"), (two, "b")) for _ in range(20)])
+    assert [g for g, _ in model.documents([run(one, 64) + "。" + run(two, 3000), run(two, 64) + run(one, 3000), run(one, 40)])] == ["b", "a", "a"]
+    assert set(langid.features(("x" * 70 + "end").encode(), {})) > set(langid.features(("x" * 70).encode(), {})) & set(langid.features(b"send", {}))
+    assert langid.features(("x" * 70 + "end").encode(), {}) != langid.features(("x" * 70).encode(), {})
+
+
 def test_languages_on_odd_rows(spark, odd):
     model = langid.fit_languages(odd)
     rows = langid.detect_languages(clashing(odd), model).collect()

@@ -22,6 +22,7 @@ from pyspark.sql.window import Window
 
 from weftgraph.llm.quality import held_out
 from weftgraph.llm.resident import resident
+from weftgraph.llm.words import chunks
 from weftgraph.runtime import ship_package
 
 UNKNOWN = "und"
@@ -30,6 +31,8 @@ PER_LANGUAGE, MOST_LANGUAGES, LEXICON, BITS = 256, 200, 500, 17
 SEQUENCES, LENGTH, EPOCHS, RATE, L2 = 400, 96, 3, 0.5, 1e-4
 #: Words labelled together, and words whose scores a worker process keeps.
 WORDS_AT_ONCE, MEMO_WORDS = 400_000, 400_000
+#: Bytes of new words whose features are listed at once, and of words in the memo; a longer word is handled alone.
+LEARN_BYTES, MEMO_BYTES = 1 << 20, 1 << 26
 SALTS = 32
 _STRIP = "«»„“”’‘…–—¿¡\u00a0"
 #: ASCII characters other than letters part words.
@@ -46,7 +49,6 @@ def features(word: bytes, lexicons: dict[str, int]) -> list[int]:
     w = word.decode("utf-8", "surrogatepass").strip(_STRIP)
     if not any(map(str.isalpha, w)):
         return []
-    w = w[:64]
     marked = f"^{w}$"
     names = [f"p{k}{w[:k]}" for k in (1, 2, 3)] + [f"s{k}{w[-k:]}" for k in (1, 2, 3)]
     names += {f"g{marked[i : i + n]}" for n in (2, 3) for i in range(len(marked) - n + 1)}
@@ -93,6 +95,7 @@ class Tagger:
 
     def _reset(self) -> None:
         self.memo: dict[bytes, int] = {}
+        self.held = 0
         self.table = np.empty((1024, len(self.labels)), dtype=np.float32)
         self.letters = np.empty(1024, dtype=bool)
 
@@ -113,14 +116,16 @@ class Tagger:
         self.table[base:need] = np.exp(np.clip(sums - sums.max(axis=1, keepdims=True), -40, 0))
         self.letters[base:need] = n > 0
         self.memo.update(zip(words, range(base, need), strict=True))
+        self.held += sum(map(len, words))
 
     def indices(self, words: list[bytes]) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > MEMO_WORDS or self.held > MEMO_BYTES:
             self._reset()
         memo = self.memo
         new = {w for w in set(words) if w not in memo}
         if new:
-            self._learn(sorted(new))
+            for _, part in chunks(sorted(new), LEARN_BYTES):
+                self._learn(part)
         return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
 
     def posteriors(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +145,7 @@ class Tagger:
             words = tokens(text)
             if words:
                 group.append((i, words))
-                size += len(words)
+                size += max(len(words), len(text) // 16)  # scripts without spaces have few, long words
             if group and (size >= WORDS_AT_ONCE or i == len(texts) - 1):
                 p, letters, counts = self.posteriors([w for _, w in group])
                 starts = np.cumsum(counts) - counts

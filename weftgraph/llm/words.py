@@ -73,11 +73,11 @@ class Words:
         return self.blob[self.starts[a] : self.stops[b]]
 
 
-def chunks(texts: list[bytes]):
-    """(index of the first text, texts) with about CHUNK bytes each."""
+def chunks(texts: list[bytes], most: int = CHUNK):
+    """(index of the first text, texts) with about `most` bytes each."""
     at, size = 0, 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > CHUNK:
+        if size and size + len(t) > most:
             yield at, texts[at:i]
             at, size = i, 0
         size += len(t) + 1
