@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import duckdb
+
 from weftgraph import catalog
 from weftgraph.operators import flows
 from weftgraph.sources.projection import project
@@ -67,3 +71,23 @@ def test_flows_of_the_projection_to_the_real_end(spark):
     rows = flows.all_flows(g).collect()
     assert sorted((r.entry, ">".join(r.path), r.is_cyclic) for r in rows) == want
     assert max(len(r.path) for r in rows) < flows.ALL_DEPTH and any(r.is_cyclic and len(r.path) > 6 for r in rows)
+
+
+def test_reports_count_every_detector(spark):
+    con = duckdb.connect()
+    for t in ("supplier", "customer", "part", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    count = lambda q, n="count(*)": con.execute(f"SELECT {n} FROM ({catalog.ORACLE_SQL[q]})").fetchall()[0][0] or 0
+    want = {"data_dead_end": count("dead_end"), "orphaned_impl": count("orphaned"), "phantom_dependency": count("phantom")}
+    want |= {n: count(n) for n in ("missing_reexport", "layer_violation", "stale_reference", "partial_wiring")}
+    want["incomplete_migration"] = count("naming_pairs") + count("version_pairs") + int(count("import_coexistence", "sum(pairs)"))
+    rows = catalog.QUERIES["diagnostics"](spark, SF).collect()
+    got = Counter(r.pattern for r in rows)
+    assert {n: got[n] for n in want} == want and got["layer_violation"] and got["incomplete_migration"]
+    assert sorted(r.id for r in rows) == sorted(f"D{k:03d}" for k in range(1, len(rows) + 1))
+
+
+def test_severities_count_every_detector(spark):
+    n = catalog.QUERIES["severity_counts_all"](spark, SF).first()
+    some = catalog.QUERIES["severity_counts"](spark, SF).first()
+    assert n.warning > some.warning and n.info >= some.info and n.critical >= some.critical

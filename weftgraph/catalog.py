@@ -238,6 +238,25 @@ def _(g):
     return top_issues(d.numbered(_some(g))).select("id", "pattern", "entity")
 
 
+@query("diagnostics")
+def _(g):
+    return d.diagnostics(g).select("id", "pattern", "severity", "confidence", "entity", "loc")
+
+
+@query("severity_counts_all")
+def _(g):
+    from weftgraph.operators.summary import severity_counts
+
+    return severity_counts(d.diagnostics(g))
+
+
+@query("top_issues_all")
+def _(g):
+    from weftgraph.operators.summary import top_issues
+
+    return top_issues(d.diagnostics(g)).select("id", "pattern", "entity")
+
+
 
 
 FLOW = """, fe AS (SELECT DISTINCT c.src, coalesce(r.dst, c.dst) AS dst FROM edge c LEFT JOIN sym i ON i.id = c.dst AND i.is_import LEFT JOIN edge r ON r.src = i.id AND r.edge_kind = 'References' WHERE c.edge_kind = 'Calls'),
