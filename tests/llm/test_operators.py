@@ -409,7 +409,7 @@ def test_forward_backward_equals_enumeration():
 
 def test_words_of_mixed_text(docs):
     samples = [(r.text, r.lang) for r in docs.values() if r.lang]
-    model = langid.train(samples)
+    model = langid.train([(langid.word_runs(t), g) for t, g in samples])
     pick = {lang: next(t for t, g in samples if g == lang and len(t) > 400).split()[5:25] for lang in ("en", "de")}
     found = langid.label_words(" ".join(pick["en"] + pick["de"]), model)
     half = len(found) // 2
@@ -420,17 +420,37 @@ def test_long_words_count_whole():
     rng = random.Random(6)
     run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     one, two = "山川日本人大", "ไทยกขคง"
-    model = langid.train([(" ".join(run(letters, 6) for _ in range(80)), lang) for letters, lang in ((one, "a"), (two, "b")) for _ in range(20)])
-    assert [g for g, _ in model.documents([run(one, 64) + "。" + run(two, 3000), run(two, 64) + run(one, 3000), run(one, 40)])] == ["b", "a", "a"]
-    assert set(langid.features(("x" * 70 + "end").encode(), {})) > set(langid.features(("x" * 70).encode(), {})) & set(langid.features(b"send", {}))
+    model = langid.train([([run(letters, 6).encode() for _ in range(80)], lang) for letters, lang in ((one, "a"), (two, "b")) for _ in range(20)])
+    assert [g for g, *_ in model.documents([run(one, 64) + "。" + run(two, 3000), run(two, 64) + run(one, 3000), run(one, 40)])] == ["b", "a", "a"]
     assert langid.features(("x" * 70 + "end").encode(), {}) != langid.features(("x" * 70).encode(), {})
 
 
+def test_more_languages_than_the_sample_has_rows(spark):
+    rows = [(i, f"wort{i} zeile{i} satz{i}", f"l{i:03}") for i in range(400)]
+    model = langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=50)
+    assert len(model.labels) == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400)) > 200
+
+
+def test_known_share_tells_unlearned_languages(docs):
+    model = langid.train([(langid.word_runs(r.text), r.lang) for r in docs.values() if r.lang])
+    rng = random.Random(2)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(60))
+    found = model.documents([docs[min(docs)].text, noise, "山川日本人大 " * 30, "12 34", None])
+    assert found[0][2] > 0.9 and found[1][2] < 0.5 and found[2][2] < 0.5 and found[3][2] == found[4][2] == 0
+
+
+def test_long_texts_are_cut_into_spread_runs():
+    words = langid.word_runs(" ".join(f"w{chr(97 + i % 26)}x{'abcdefghij'[i // 1000 % 10]}" for i in range(10000)))
+    assert len(words) == langid.RUNS * langid.RUN_WORDS and {w[-1:] for w in words} > {b"a", b"j"}
+
+
 def test_languages_on_odd_rows(spark, odd):
     model = langid.fit_languages(odd)
     rows = langid.detect_languages(clashing(odd), model).collect()
     assert len(rows) == len(ODD)
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in rows)
+    again = langid.detect_languages(clashing(odd), model, out=("g", "s", "k")).collect()
+    assert all(r.score == 7 and r.lang_pred == 7 for r in again) and sorted((r.g, r.s) for r in again) == sorted((r.lang_pred, r.score) for r in rows)
     nothing = langid.fit_languages(odd.limit(0))
     assert {r.lang_pred for r in langid.detect_languages(odd, nothing).collect()} == {"und"}
 

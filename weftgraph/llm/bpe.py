@@ -27,17 +27,20 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftgraph.llm.resident import resident
+from weftgraph.llm.tasks import tidy
 from weftgraph.runtime import ship_package
 
 SPACE = "\t-\r \x85\xa0  -     　"
-#: Words kept per worker process; beyond that the memo starts anew.
-MEMO_WORDS = 400_000
-ROWS_OUT = 256
+#: Words whose ids a task keeps; beyond that the memo starts anew.
+MEMO_WORDS = 200_000
+#: Rows and text bytes of one output batch; a longer text is handled alone.
+ROWS_OUT, BYTES_OUT = 256, 1 << 22
 
 
 def byte_symbols() -> list[str]:
@@ -205,7 +208,7 @@ class WordTokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         splits = [p for p in d["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         pattern = splits[0]["pattern"]["Regex"].replace("\\s", SPACE)
-        self.words = regex.compile(pattern).findall
+        self.words = regex.compile(pattern)
         self.memo: dict[str, bytes] = {}
 
     @staticmethod
@@ -222,7 +225,7 @@ class WordTokenizer:
             if k % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
             elif part:
-                out += map(self._word, self.words(self.normalise(part)))
+                out += map(self._word, self.words.findall(self.normalise(part)))
         return b"".join(out)
 
     def _word(self, word: str) -> bytes:
@@ -237,50 +240,95 @@ class WordTokenizer:
 
     def decode(self, ids: bytes) -> str:
         """The labels of the ids, joined as a file without a decoder asks for."""
-        return " ".join(map(self.labels.__getitem__, memoryview(ids).cast("I")))
+        return spelled(self.labels, ids)
 
+    def forget(self) -> None:
+        """Empty the memo and the transition rows, as the tool was made."""
+        self.memo.clear()
+        self.automaton.rows = [None] * len(self.automaton.rows)
 
-def _tokenizer(spec) -> WordTokenizer:
-    """One compiled tokenizer per worker process."""
-    return resident(("bpe", hash(spec.value)), lambda: WordTokenizer(spec.value))
 
+def spelled(labels: list[str], ids: bytes) -> str:
+    """The text that packed ids spell."""
+    return " ".join(map(labels.__getitem__, memoryview(ids).cast("I")))
 
-def _mapped(df: DataFrame, column: str, out: str, kind: str, make, fn) -> DataFrame:
-    """Append a column that a function of one column gives; batches are cut to bound memory."""
+
+def label_list(spec: str) -> list[str]:
+    """The label of every id in a tokenizer file."""
+    d = json.loads(spec)
+    by_id = {i: token for token, i in d["model"]["vocab"].items()} | {t["id"]: t["content"] for t in d.get("added_tokens", [])}
+    return [by_id.get(i, "") for i in range(max(by_id, default=-1) + 1)]
+
+
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of rows within ROWS_OUT and BYTES_OUT."""
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at == ROWS_OUT or total + n > BYTES_OUT):
+            yield at, i
+            at, total = i, 0
+        total += n
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _mapped(df: DataFrame, column: str, made: dict[str, str], tool, fn) -> DataFrame:
+    """Append the columns that a function of one column and a broadcast tool gives; batches are cut to bound memory."""
     ship_package(df.sparkSession)
-    fields = [c for c in df.columns if c != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != out) + f", `{out}` {kind}"
-    typ = pa.string() if kind == "string" else pa.binary()
+    fields = [c for c in df.columns if c not in made]
+    schema = T.StructType([*(df.schema[c] for c in fields), *(T.StructField(c, T.StringType() if k == "string" else T.BinaryType()) for c, k in made.items())])
+    shared = df.sparkSession.sparkContext.broadcast(tool)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_OUT):
-                part = batch.slice(at, ROWS_OUT)
-                values = [fn(tool, v.as_py()) for v in part.column(column)]
-                cols = [part.column(c) for c in fields] + [pa.array(values, typ)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*fields, out])
+        held = shared.value
+        try:
+            for batch in batches:
+                sizes = [n or 0 for n in pc.binary_length(batch.column(column)).to_pylist()]
+                for at, to in _slices(sizes):
+                    part = batch.slice(at, to - at)
+                    values = [fn(held, v.as_py()) for v in part.column(column)]
+                    cols = [part.column(c) for c in fields]
+                    cols += [pa.array([v[k] for v in values], pa.string() if kind == "string" else pa.binary()) for k, kind in enumerate(made.values())]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*fields, *made])
+        finally:
+            if hasattr(held, "forget"):
+                held.forget()
 
     return df.mapInArrow(run, schema)
 
 
+def _spec(tokenizer_path: str) -> str:
+    """The tokenizer file, read on the driver (its size does not depend on the data)."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        return f.read()
+
+
 def bpe_encode(df: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Append column `out`: the token ids of `text` as packed little-endian unsigned 32-bit integers.
 
     A null or empty text gives no ids (empty binary). All other columns stay; one named
-    `out` is replaced. Text of any length is encoded whole. The vocabulary
-    file is read on the driver and broadcast (its size does not depend on the data).
+    `out` is replaced. Text of any length is encoded whole. The automaton is compiled on the driver and broadcast.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
-    return _mapped(df, text, out, "binary", lambda: _tokenizer(spec), lambda t, v: t.encode(v or ""))
+    return _mapped(df, text, {out: "binary"}, WordTokenizer(_spec(tokenizer_path)), lambda t, v: (t.encode(v or ""),))
 
 
 def bpe_decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Append column `out`: the text that the arc labels of `ids` spell; null ids give an empty text."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())
-    return _mapped(df, ids, out, "string", lambda: _tokenizer(spec), lambda t, v: t.decode(v or b""))
+    """Append column `out`: the text that the arc labels of `ids` spell; null ids give an empty text.
+
+    Only the labels are broadcast. All other columns stay; one named `out` is replaced.
+    """
+    return _mapped(df, ids, {out: "string"}, label_list(_spec(tokenizer_path)), lambda t, v: (spelled(t, v or b""),))
+
+
+def bpe_round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """bpe_encode and bpe_decode in one pass over the rows, under the same rules."""
+
+    def both(t: WordTokenizer, v: str | None) -> tuple[bytes, str]:
+        got = t.encode(v or "")
+        return got, t.decode(got)
+
+    return _mapped(df, text, {ids: "binary", decoded: "string"}, WordTokenizer(_spec(tokenizer_path)), both)
 
 
 def op1_bpe_automaton(spark, sf_dir: str) -> DataFrame:
@@ -289,7 +337,7 @@ def op1_bpe_automaton(spark, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = bpe_decode(bpe_encode(docs, path).drop("text"), path)
+    done = bpe_round_trip(docs, path)
     return done.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

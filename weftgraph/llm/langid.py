@@ -5,6 +5,10 @@ it (the frequent words of each language in the training sample); transitions bet
 labels are learned with them, on word sequences spliced from texts in different languages.
 Forward-backward gives every word's label probabilities; a document takes the language of the
 largest mean over its words with letters.
+
+Probabilities of the learned labels always sum to one, so they cannot tell that a text is in none of
+these languages. `known` can, whatever their number: it is the mean over the words of the share
+of character trigrams that the training sample has.
 """
 
 from __future__ import annotations
@@ -21,18 +25,20 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftgraph.llm.quality import held_out
-from weftgraph.llm.resident import resident
+from weftgraph.llm.tasks import tidy
 from weftgraph.llm.words import chunks
 from weftgraph.runtime import ship_package
 
 UNKNOWN = "und"
-#: Training documents of one language, languages, words in a lexicon, hashed features.
-PER_LANGUAGE, MOST_LANGUAGES, LEXICON, BITS = 256, 200, 500, 17
+#: Training documents of one language and of all (each language has one at least), words in a lexicon, hashed features.
+PER_LANGUAGE, SAMPLE_ROWS, LEXICON, BITS = 256, 20_000, 500, 17
+#: What one training document gives at most: runs of words, spread evenly over the whole text, and bytes of a word.
+RUNS, RUN_WORDS, WORD_BYTES = 8, 64, 1024
 SEQUENCES, LENGTH, EPOCHS, RATE, L2 = 400, 96, 3, 0.5, 1e-4
-#: Words labelled together, and words whose scores a worker process keeps.
-WORDS_AT_ONCE, MEMO_WORDS = 400_000, 400_000
+#: Words labelled together, and words whose scores a task keeps.
+WORDS_AT_ONCE, MEMO_WORDS = 100_000, 200_000
 #: Bytes of new words whose features are listed at once, and of words in the memo; a longer word is handled alone.
-LEARN_BYTES, MEMO_BYTES = 1 << 20, 1 << 26
+LEARN_BYTES, MEMO_BYTES = 1 << 17, 1 << 24
 SALTS = 32
 _STRIP = "«»„“”’‘…–—¿¡\u00a0"
 #: ASCII characters other than letters part words.
@@ -44,18 +50,20 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PARTS).split()
 
 
-def features(word: bytes, lexicons: dict[str, int]) -> list[int]:
-    """Hashed features of one word; a word without a letter has none. Lexicon bits: one feature for each set of lexicons."""
+def features(word: bytes, lexicons: dict[str, int]) -> tuple[list[int], int]:
+    """Hashed features of one word and how many trigrams stand first; a word without a letter has none. Lexicon bits: one feature for each set of lexicons."""
     w = word.decode("utf-8", "surrogatepass").strip(_STRIP)
     if not any(map(str.isalpha, w)):
-        return []
+        return [], 0
     marked = f"^{w}$"
-    names = [f"p{k}{w[:k]}" for k in (1, 2, 3)] + [f"s{k}{w[-k:]}" for k in (1, 2, 3)]
-    names += {f"g{marked[i : i + n]}" for n in (2, 3) for i in range(len(marked) - n + 1)}
+    names = list({f"g{marked[i : i + 3]}" for i in range(len(marked) - 2)})
+    trigrams = len(names)
+    names += {f"g{marked[i : i + 2]}" for i in range(len(marked) - 1)}
+    names += [f"p{k}{w[:k]}" for k in (1, 2, 3)] + [f"s{k}{w[-k:]}" for k in (1, 2, 3)]
     names += [f"u{c}" for c in set(w) if ord(c) > 127]
     if (bits := lexicons.get(w)) is not None:
         names.append(f"l{bits}")
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names]
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names], trigrams
 
 
 def forward_backward(e: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -87,40 +95,47 @@ def forward_backward(e: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> np
 
 
 class Tagger:
-    """Weights of features [2**BITS, labels] and transitions, with a memo of word factors."""
+    """Weights of features [2**BITS, labels], transitions, and the trigrams of the training sample, with a memo of word factors."""
 
-    def __init__(self, labels: list[str], lexicons: dict[str, int], weights: np.ndarray, trans: np.ndarray):
+    def __init__(self, labels: list[str], lexicons: dict[str, int], weights: np.ndarray, trans: np.ndarray, seen: np.ndarray | None = None):
         self.labels, self.lexicons, self.weights, self.trans = labels, lexicons, weights.astype(np.float32), np.exp(trans).astype(np.float32)
-        self._reset()
+        self.seen = np.zeros(len(weights), dtype=bool) if seen is None else seen
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
+        """Empty the memo."""
         self.memo: dict[bytes, int] = {}
         self.held = 0
         self.table = np.empty((1024, len(self.labels)), dtype=np.float32)
         self.letters = np.empty(1024, dtype=bool)
+        self.known = np.empty(1024, dtype=np.float32)
 
     def _learn(self, words: list[bytes]) -> None:
         """Put the factors of new words into the memo."""
-        lists = [features(w, self.lexicons) for w in words]
-        n = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((f for x in lists for f in x), dtype=np.int64, count=int(n.sum()))
-        sums = np.zeros((len(lists), len(self.labels)))
+        found = [features(w, self.lexicons) for w in words]
+        n = np.fromiter((len(f) for f, _ in found), dtype=np.int64, count=len(found))
+        tri = np.fromiter((t for _, t in found), dtype=np.int64, count=len(found))
+        flat = np.fromiter((f for x, _ in found for f in x), dtype=np.int64, count=int(n.sum()))
+        sums, known = np.zeros((len(found), len(self.labels))), np.zeros(len(found))
         some = np.flatnonzero(n)
         if len(some):
-            sums[some] = np.add.reduceat(self.weights[flat], (np.cumsum(n) - n)[some], axis=0)
+            first = np.cumsum(n) - n
+            sums[some] = np.add.reduceat(self.weights[flat], first[some], axis=0)
+            inner = np.arange(len(flat)) - np.repeat(first, n) < np.repeat(tri, n)
+            known[some] = np.add.reduceat(self.seen[flat] & inner, first[some], dtype=np.float64) / tri[some]
         base, need = len(self.memo), len(self.memo) + len(words)
         if need > len(self.table):
             size = max(need, 2 * len(self.table))
             self.table = np.resize(self.table, (size, len(self.labels)))
-            self.letters = np.resize(self.letters, size)
+            self.letters, self.known = np.resize(self.letters, size), np.resize(self.known, size)
         self.table[base:need] = np.exp(np.clip(sums - sums.max(axis=1, keepdims=True), -40, 0))
-        self.letters[base:need] = n > 0
+        self.letters[base:need], self.known[base:need] = n > 0, known
         self.memo.update(zip(words, range(base, need), strict=True))
         self.held += sum(map(len, words))
 
     def indices(self, words: list[bytes]) -> np.ndarray:
         if len(self.memo) > MEMO_WORDS or self.held > MEMO_BYTES:
-            self._reset()
+            self.forget()
         memo = self.memo
         new = {w for w in set(words) if w not in memo}
         if new:
@@ -128,15 +143,15 @@ class Tagger:
                 self._learn(part)
         return np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def posteriors(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(probabilities by word, whether it has a letter, words by text); texts must have words."""
+    def posteriors(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(probabilities by word, whether it has a letter, its share of known trigrams, words by text); texts must have words."""
         counts = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         at = self.indices([w for t in texts for w in t])
-        return forward_backward(self.table[at], self.trans, counts), self.letters[at], counts
+        return forward_backward(self.table[at], self.trans, counts), self.letters[at], self.known[at], counts
 
-    def documents(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, mean probability) of each text."""
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    def documents(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, mean probability, mean share of known trigrams) of each text."""
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         if not self.labels:
             return out
         group: list[tuple[int, list[bytes]]] = []
@@ -147,33 +162,41 @@ class Tagger:
                 group.append((i, words))
                 size += max(len(words), len(text) // 16)  # scripts without spaces have few, long words
             if group and (size >= WORDS_AT_ONCE or i == len(texts) - 1):
-                p, letters, counts = self.posteriors([w for _, w in group])
+                p, letters, known, counts = self.posteriors([w for _, w in group])
                 starts = np.cumsum(counts) - counts
                 sums = np.add.reduceat(p * letters[:, None], starts, axis=0, dtype=np.float64)
                 n = np.add.reduceat(letters.astype(np.int64), starts)
-                for (k, _), s, c in zip(group, sums, n, strict=True):
+                share = np.add.reduceat(known, starts, dtype=np.float64)
+                for (k, _), s, c, t in zip(group, sums, n, share, strict=True):
                     if c:
                         best = int(s.argmax())
-                        out[k] = (self.labels[best], float(min(1.0, s[best] / c)))
+                        out[k] = (self.labels[best], float(min(1.0, s[best] / c)), float(min(1.0, t / c)))
                 group, size = [], 0
         return out
 
 
-def train(samples: list[tuple[str, str]], seed: int = 5) -> Tagger:
-    """A tagger from (text, language) pairs."""
+def train(samples: list[tuple[list[bytes], str]], seed: int = 5) -> Tagger:
+    """A tagger from (words, language) pairs."""
     rng = np.random.default_rng(seed)
     by: dict[str, list[list[bytes]]] = {}
-    for text, lang in sorted(samples):
-        if words := tokens(text):
-            by.setdefault(lang, []).append(words)
+    for doc, lang in sorted(samples):
+        if doc:
+            by.setdefault(lang, []).append(doc)
     labels = sorted(by)
     n = len(labels)
     if not n:
         return Tagger([], {}, np.zeros((1 << BITS, 0)), np.zeros((0, 0)))
     lexicons: dict[str, int] = {}
+    seen = np.zeros(1 << BITS, dtype=bool)
     for y, lang in enumerate(labels):
-        seen = Counter(w.decode("utf-8", "surrogatepass").strip(_STRIP) for t in by[lang] for w in t)
-        for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+        counted = Counter(w for t in by[lang] for w in t)
+        for w in counted:
+            found, trigrams = features(w, {})
+            seen[found[:trigrams]] = True
+        bare: Counter = Counter()
+        for w, c in counted.items():
+            bare[w.decode("utf-8", "surrogatepass").strip(_STRIP)] += c
+        for w, _ in sorted(bare.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicons[w] = lexicons.get(w, 0) | 1 << y
     words: dict[bytes, int] = {}
     x, y = np.empty((SEQUENCES, LENGTH), dtype=np.int64), np.empty((SEQUENCES, LENGTH), dtype=np.int64)
@@ -187,7 +210,7 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Tagger:
             x[s, at : at + m] = [words.setdefault(w, len(words)) for w in doc[start : start + m]]
             y[s, at : at + m] = k
             at += m
-    lists = [features(w, lexicons) for w in words]
+    lists = [features(w, lexicons)[0] for w in words]
     sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
     flat = np.fromiter((f for v in lists for f in v), dtype=np.int64, count=int(sizes.sum()))
     owner = np.repeat(np.arange(len(lists)), sizes)
@@ -223,55 +246,73 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Tagger:
             step = (np.einsum("sti,stj->ij", true[:, :-1], true[:, 1:]) - pair.sum(axis=(0, 1))) / len(rows)
             gt += step**2
             trans += RATE * step / np.sqrt(gt)
-    return Tagger(labels, lexicons, w, trans)
+    return Tagger(labels, lexicons, w, trans, seen)
+
+
+def word_runs(text: str | None) -> list[bytes]:
+    """The words of a training text: all, or RUNS runs of RUN_WORDS spread evenly; longer words than WORD_BYTES teach nothing."""
+    words = [w for w in tokens(text) if len(w) <= WORD_BYTES]
+    if len(words) <= RUNS * RUN_WORDS:
+        return words
+    starts = [k * (len(words) - RUN_WORDS) // (RUNS - 1) for k in range(RUNS)]
+    return [w for s in starts for w in words[s : s + RUN_WORDS]]
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Tagger:
-    """Train on at most per_language documents of each language, among those not held out; null languages and texts teach nothing."""
-    known = docs.filter(~held_out(id_col) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    keys = known.select(F.col(id_col).alias("_i"), F.col(lang).alias("_g"), F.xxhash64(F.lit(1), id_col).alias("_h"))
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, most: int = SAMPLE_ROWS) -> Tagger:
+    """Train on a bounded sample of the documents that are not held out; null languages and texts teach nothing.
+
+    The sample has at most per_language documents of each language and about `most` in all (one of each language at least), those of the least
+    hashes of ids, and of each RUNS * RUN_WORDS words at most. Executors cut the words, so no whole text reaches the driver.
+    """
+    ship_package(docs.sparkSession)
+    known = docs.select(F.col(id_col).alias("_i"), F.col(lang).alias("_g"), F.col(text).alias("_t")).filter(~held_out("_i") & F.col("_g").isNotNull() & F.col("_t").isNotNull())
+    keys = known.select("_i", "_g", F.xxhash64(F.lit(1), "_i").alias("_h"))
     salted = Window.partitionBy("_g", F.pmod("_h", F.lit(SALTS))).orderBy("_h", "_i")
     keys = keys.withColumn("_n", F.row_number().over(salted)).filter(F.col("_n") <= -(-per_language // SALTS) * 2)
-    chosen = keys.select("_i", "_g", "_h").orderBy("_h", "_i").limit(2 * per_language * MOST_LANGUAGES).collect()
-    by: dict[str, list] = {}
-    for r in chosen:
-        by.setdefault(r["_g"], [])
-        if len(by[r["_g"]]) < per_language:
-            by[r["_g"]].append(r["_i"])
-    if len(by) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    kind = dict(docs.dtypes)[id_col]
-    ids = docs.sparkSession.createDataFrame([(i,) for v in by.values() for i in v], f"_i {kind}")
-    rows = known.join(F.broadcast(ids), F.col(id_col) == F.col("_i")).select(text, lang).collect()
-    return train([(r[0], r[1]) for r in rows])
-
-
-def _local(model) -> Tagger:
-    """One tagger per worker process, so that its memo lasts."""
-    labels, _, weights, trans = model.value
-    return resident(("languages", *labels, zlib.crc32(weights.tobytes()), zlib.crc32(trans.tobytes())), lambda: Tagger(*model.value))
-
-
-def detect_languages(df: DataFrame, model: Tagger, text: str = "text") -> DataFrame:
-    """Append lang_pred and score.
-
-    A null text, or one without a letter, gets UNKNOWN and 0. Other columns stay; columns with these names are
+    whole = Window.partitionBy("_g").orderBy("_h", "_i")  # 2 * per_language + 2 * SALTS rows of a language at most
+    keys = keys.withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") <= per_language)
+    chosen = keys.orderBy("_n", "_h", "_i").limit(most).select("_i").distinct()
+    first = keys.filter("_n = 1").select("_i")
+    ids = chosen.union(first).distinct().withColumnRenamed("_i", "_c").collect()
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = known.join(F.broadcast(docs.sparkSession.createDataFrame([(r[0],) for r in ids], f"_c {kind}")), F.col("_i") == F.col("_c")).select("_g", "_t")
+
+    @tidy
+    def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = word_runs(batch.column("_t")[i].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("_g").slice(i, 1), pa.array([b" ".join(words)], pa.binary())], names=["_g", "_w"])
+
+    rows = picked.mapInArrow(cut_words, T.StructType([picked.schema["_g"], T.StructField("_w", T.BinaryType())])).collect()
+    return train([(bytes(r["_w"]).split(b" ") if r["_w"] else [], r["_g"]) for r in rows])
+
+
+def detect_languages(df: DataFrame, model: Tagger, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """Append the language, its mean probability and the mean share of known trigrams, under the names in `out`.
+
+    A null text, or one without a letter, gets UNKNOWN, 0 and 0. Other columns stay; columns with these names are
     replaced.
     """
     spark = df.sparkSession
     ship_package(spark)
-    packed = spark.sparkContext.broadcast((model.labels, model.lexicons, model.weights, np.log(model.trans) if model.labels else model.trans))
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    model.forget()
+    packed = spark.sparkContext.broadcast(model)
+    kept = [c for c in df.columns if c not in out]
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.DoubleType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = _local(packed)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                found = tool.documents(part.column(text).to_pylist())
-                cols = [*(part.column(c) for c in kept), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*kept, "lang_pred", "score"])
+        tool = packed.value
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    found = tool.documents(part.column(text).to_pylist())
+                    cols = [*(part.column(c) for c in kept), pa.array([x[0] for x in found], pa.string()), *(pa.array([x[k] for x in found], pa.float64()) for k in (1, 2))]
+                    yield pa.RecordBatch.from_arrays(cols, names=[*kept, *out])
+        finally:
+            tool.forget()
 
     return df.mapInArrow(run, schema)
 
@@ -282,12 +323,12 @@ def label_words(text: str, model: Tagger) -> list[tuple[str, str, float]]:
     names = [w.decode("utf-8", "surrogatepass") for w in words]
     if not words or not model.labels:
         return [(w, UNKNOWN, 0.0) for w in names]
-    p, letters, _ = model.posteriors([words])
+    p, letters, _, _ = model.posteriors([words])
     return [(w, model.labels[int(v.argmax())], float(v.max())) if l else (w, UNKNOWN, 0.0) for w, v, l in zip(names, p, letters, strict=True)]
 
 
 def op9_crf_language(spark, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document."""
+    """doc_id, held_out, lang_pred, score and known of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = detect_languages(docs.select("doc_id", "text"), fit_languages(docs))
-    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "known")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.resident import vacate
+from weftgraph.llm.tasks import tidy
 from weftgraph.llm.words import Words, canonical, chunks, mix64
 from weftgraph.operators.components import star_components
 from weftgraph.runtime import Scratch, cut, release, ship_package
@@ -155,8 +155,8 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
     """Texts by shingle hash over all rows of one column, and the number of texts; the result's size is fixed."""
     size, width = 1 << TABLE_BITS, (1 << TABLE_BITS) // SLICES
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         table, docs = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
             for n, hashes in different(batch.column(0)):
@@ -171,6 +171,7 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
                 names=["slice", "counts"],
             )
 
+    @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -207,6 +208,7 @@ def _prefixes(vectors: DataFrame, rank: np.ndarray, idf, threshold: float) -> Da
     """(bucket, key) of every shingle in a node's prefix that another node may have (one counted once is its own)."""
     shared = vectors.sparkSession.sparkContext.broadcast(rank)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Idf(*idf.value)
         for batch in batches:
@@ -234,6 +236,7 @@ def _signed(df: DataFrame, text: str, idf) -> DataFrame:
     fields = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType([*fields, T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.ByteType()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Idf(*idf.value)
         for batch in batches:
@@ -257,6 +260,7 @@ def _signed(df: DataFrame, text: str, idf) -> DataFrame:
 def _vectors(df: DataFrame, text: str) -> DataFrame:
     """(key, vec): the packed shingles of each text with the expected digest `key`."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -415,6 +419,7 @@ def _maybe(texts: DataFrame, id_col: str, wanted: DataFrame, key: str) -> DataFr
     width = bits // SLICES
     places = wanted.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("p")).select((F.col("p") / width).cast("int").alias("slice"), F.col("p") % width)
 
+    @tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -451,6 +456,7 @@ def _searched(members: DataFrame, vectors: DataFrame, idf, threshold: float) ->
     v = vectors.select(F.col("key").alias("_v"), "vec")
     groups = members.select("bucket", "key", "c").join(v, F.col("key") == F.col("_v")).groupBy("bucket").agg(F.collect_list(F.struct("key", "c", "vec")).alias("m"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Idf(*idf.value)
         for batch in batches:
@@ -496,6 +502,7 @@ def _verified(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> Da
     b = vectors.select(F.col("key").alias("_kb"), F.col("vec").alias("vb"))
     met = pairs.join(a, F.col("a") == F.col("_ka")).select("a", "b", "va").join(b, F.col("b") == F.col("_kb")).select("a", "b", "va", "vb")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weigh = Idf(*idf.value)
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from weftgraph.llm.permute import permute
-from weftgraph.llm.resident import vacate
+from weftgraph.llm.tasks import tidy
 from weftgraph.runtime import cut, ship_package
 
 WEIGHTS, PASSES, BLOCK, SHARDS, SEED = (5.0, 2.0, 1.0), 3, 512, 8, 20240301
@@ -82,6 +82,7 @@ def _number_words(df: DataFrame, source: str, size: str, order: list[Column]) ->
     placed = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     schema = T.StructType([*placed.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_local", T.LongType())])
 
+    @tidy
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, base, at, pid = object(), 0, 0, TaskContext.get().partitionId()
         for pdf in batches:
@@ -189,8 +190,8 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     fields = docs.columns
     at_text = fields.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 part = whole.slice(at, 256)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.tasks import tidy
 from weftgraph.runtime import ship_package
 
 RATES = {  # (version, layer) -> kbit/s by index
@@ -166,6 +167,7 @@ def _arrow(df: DataFrame, column: str, names: list[str], kinds: str, types: list
     kept = [c for c in df.columns if c not in names]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), kinds])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_OUT):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm import gbdt
+from weftgraph.llm.tasks import tidy
 from weftgraph.runtime import Scratch, ship_package
 
 #: At most this many labelled rows fit the trees, those of the least hashes.
@@ -52,12 +53,9 @@ def statistics(text: str | None) -> list[float]:
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=n)
     lines = [x for x in raw.split(b"\n") if x.strip()]
     seen = Counter(words)
-    pairs = Counter(zip(words, words[1:], strict=False)) if n < 400 else None
-    if pairs is None:  # a long text's pairs by hash
-        h = np.fromiter(map(hash, words), dtype=np.int64, count=n)
-        top = np.unique(h[:-1] * 31 + h[1:], return_counts=True)[1].max()
-    else:
-        top = max(pairs.values(), default=1)
+    index = {w: i for i, w in enumerate(seen)}
+    codes = np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=n)
+    top = np.unique(codes[:-1] * len(seen) + codes[1:], return_counts=True)[1].max() if n > 1 else 1
     tails = Counter(w[-1] for w in words)
     marks = sum(v for k, v in tails.items() if _KINDS[k] in b"pm")
     caps = sum(_KINDS[w[0]] == 85 for w in words)
@@ -77,6 +75,7 @@ def document_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     kept = [c for c in df.columns if c not in (text, "stats")]
     schema = T.StructType([*(df.schema[c] for c in kept), T.StructField("stats", T.ArrayType(T.FloatType()))])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -92,12 +91,12 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> gbdt.Trees:
+def fit_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", sample: int = SAMPLE, label_id: str = "doc_id") -> gbdt.Trees:
     """Trees from the labelled rows that are not held out; ids are used to join and split only.
 
     Null labels teach nothing. Without labels of both classes every score is the smoothed base rate.
     """
-    known = labels.filter(F.col(label).isNotNull()).select(F.col(id_col).alias("_l"), F.col(label).cast("int").alias("_y"))
+    known = labels.filter(F.col(label).isNotNull()).select(F.col(label_id).alias("_l"), F.col(label).cast("int").alias("_y"))
     rows = stats.filter(~held_out(id_col)).join(known, F.col(id_col) == F.col("_l")).select("stats", "_y", F.pmod(F.xxhash64("_l", "stats"), F.lit(1 << 30)).alias("_h"))
     # a threshold on the hash bounds what the driver gets; the few rows beyond the sample are cut there
     share = min(1.0, 1.1 * sample / max(1, rows.count()))
@@ -112,8 +111,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     predicted is 1 where score >= CUT. Repeated ids are scored row by row.
     """
     spark = docs.sparkSession
-    stats = Scratch(spark, "quality").write(document_statistics(docs.select(id_col, text), text))
-    model = spark.sparkContext.broadcast(fit_quality(stats, labels, id_col, label))
+    stats = Scratch(spark, "quality").write(document_statistics(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), "_text"))
+    model = spark.sparkContext.broadcast(fit_quality(stats, labels, "_id", label, label_id=id_col))
 
     @F.pandas_udf("double")
     def score(s):
@@ -121,7 +120,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
         return pd.Series(model.value.score(np.stack(s.to_numpy()))) if len(s) else pd.Series([], dtype="float64")
 
-    out = stats.select(id_col, held_out(id_col).alias("held_out"), score("stats").alias("score"))
+    out = stats.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), score("stats").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

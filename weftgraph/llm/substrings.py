@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.words import Words, canonical, chunks
+from weftgraph.llm.tasks import tidy
 from weftgraph.runtime import Scratch, cut, release, shared_dir, ship_package
 
 WINDOW, ANCHOR = 20, 10
@@ -56,6 +57,7 @@ def summarise(df: DataFrame) -> DataFrame:
     """(_id, key, n_words, prints, again) of each row: digest of its words, fingerprints, and which of them stand for a window that it repeats."""
     schema = T.StructType([df.schema["_id"], *T.StructType.fromDDL("key binary, n_words long, prints array<long>, again array<boolean>").fields])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
@@ -151,6 +153,7 @@ def _stretches(df: DataFrame) -> DataFrame:
     fields = T.StructType.fromDDL("print long, digest long").fields
     schema = T.StructType([*fields, df.schema["_id"], *T.StructType.fromDDL("start int, n int, windows binary, again array<int>").fields])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -198,6 +201,7 @@ def _unpacked(df: DataFrame) -> DataFrame:
     """(print, digest, _id, start, n) of the single windows of stretches."""
     schema = T.StructType([df.schema["print"], T.StructField("digest", T.LongType()), df.schema["_id"], *T.StructType.fromDDL("start int, n int").fields])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             n = part.column("n").to_numpy()
@@ -231,6 +235,7 @@ def _cleaned(df: DataFrame, columns: list[T.StructField]) -> DataFrame:
     names = [f.name for f in columns]
     schema = T.StructType([*columns, *T.StructType.fromDDL("n_words long, n_removed long, kept string").fields])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
