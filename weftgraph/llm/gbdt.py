@@ -36,20 +36,22 @@ class Trees:
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
-    def sql(self, names: list[str]) -> str:
-        """The probability as a SQL expression over the named features."""
+    def sql_margin(self, names: list[str]) -> str:
+        """The margin as a SQL expression over the named features: the same doubles, added in the same order."""
+
+        def number(v: float) -> str:
+            return f"{float(v)!r}D"
 
         def walk(t: int, node: int) -> str:
             inner = self.feature.shape[1]
             if node >= inner:
-                return f"{self.leaf[t, node - inner]:.9g}D"
+                return number(self.leaf[t, node - inner])
             left, right = walk(t, 2 * node + 1), walk(t, 2 * node + 2)
             if left == right or not np.isfinite(self.threshold[t, node]):
                 return left
-            return f"CASE WHEN {names[self.feature[t, node]]} > {self.threshold[t, node]:.9g}D THEN {right} ELSE {left} END"
+            return f"CASE WHEN {names[self.feature[t, node]]} > {number(self.threshold[t, node])} THEN {right} ELSE {left} END"
 
-        total = " + ".join([f"{self.base:.9g}D", *(f"({walk(t, 0)})" for t in range(len(self.feature)))])
-        return f"1D / (1D + exp(-({total})))"
+        return " + ".join([number(self.base), *(f"({walk(t, 0)})" for t in range(len(self.feature)))])
 
 
 def fit(

@@ -310,7 +310,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", ba
     late = whole.union(_later(single).filter("late").select("_id", "start", "n"))
     late = late.union(stretches.filter("again IS NOT NULL").select("_id", F.explode("again").alias("start"), F.lit(1).alias("n")))
     late = cut(late.groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("starts")))
-    scratch.drop()
+    scratch.drop_but()
     del whole, mixed, single, stretches
     release(spark)
     marked = late.join(copies.groupBy("_id").agg(F.collect_set("key").alias("copies")).withColumnRenamed("_id", "_x"), F.col("_id").eqNullSafe(F.col("_x")), "full")
