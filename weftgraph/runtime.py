@@ -28,29 +28,63 @@ def ship_package(spark: SparkSession) -> None:
     sc._weftgraph_shipped = True
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores appended until none is among the columns (whatever their case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; set here only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves a local session; any other one is refused, as its executors would not share it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "weftgraph-checkpoints")
-        os.makedirs(found[7:], exist_ok=True)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    if not getattr(sc, "_weftgraph_swept", False):
+        _delete_at_exit(spark, sc.getCheckpointDir())  # this application's own folder below it
+        sc._weftgraph_swept = True
     return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives lost executors and ends the lineage."""
+    """Reliable checkpoint: survives lost executors and ends the lineage.
+
+    Its files go when the application ends, or sooner, by release(), where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 class Scratch:
-    """Parquet tables below the shared folder, deleted when the block ends or on drop()."""
+    """Parquet tables below the shared folder; drop() deletes them, and what is left goes when the application ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/weft-{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _delete_at_exit(spark, self.root)
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         self._n += 1
@@ -62,14 +96,25 @@ class Scratch:
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete the given tables, or all of them."""
-        for path in [f._weft_path for f in frames] or [self.root]:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        """Delete the given tables."""
+        for f in frames:
+            p, fs = _path(self.spark, f._weft_path)
+            fs.delete(p, True)
+
+    def drop_but(self, *frames: DataFrame) -> None:
+        """Delete all tables but the given ones."""
+        kept = {f._weft_path for f in frames}
+        if not kept:
+            p, fs = _path(self.spark, self.root)
+            fs.delete(p, True)
+        for k in range(1, self._n + 1 if kept else 1):
+            if f"{self.root}/t{k}" not in kept:
+                p, fs = _path(self.spark, f"{self.root}/t{k}")
+                fs.delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the cluster delete shuffle and checkpoint files that no live frame needs; they go with their driver-side handles."""
+    """Let the cluster delete shuffle files that no live frame needs (and checkpoints, see cut()); they go with their driver-side handles."""
     gc.collect()
     spark._jvm.System.gc()
 
