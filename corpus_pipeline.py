@@ -14,16 +14,17 @@ from weftgraph.llm.langid import UNKNOWN, detect_languages, fit_languages
 from weftgraph.llm.minhash import keep_one_of_each
 from weftgraph.llm.mixing import mix_texts
 from weftgraph.llm.pii import pii_redact
-from weftgraph.runtime import Scratch
+from weftgraph.runtime import Scratch, fresh, release
 
-#: A text whose words on average give its best language less than this is no text in a known language.
-LEAST_SCORE = 0.3
+#: Documents whose words on average have less than this share of the character trigrams that the learned languages have are in none of them.
+LEAST_KNOWN = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter (null texts among them) and those that no learned language fits."""
-    found = detect_languages(docs.drop("lang_pred", "score"), fit_languages(docs))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    """Drop documents without a letter (null texts among them) and those in no learned language."""
+    label, score, known = fresh(docs.columns, "language", "score", "known")
+    found = detect_languages(docs, fit_languages(docs), out=(label, score, known))
+    return found.filter((F.col(label) != UNKNOWN) & (F.col(known) >= LEAST_KNOWN)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +65,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch, before = Scratch(spark, "pipeline"), None
-    for _, stage in STAGES[:-1]:
-        done = scratch.write(stage(spark, docs, sf_dir))
-        if before is not None:
-            scratch.drop(before)
-        docs = before = done
+    try:
+        for _, stage in STAGES[:-1]:
+            done = scratch.write(stage(spark, docs, sf_dir))
+            if before is not None:
+                scratch.drop(before)
+            docs = before = done
+            release(spark)
+    except BaseException:
+        scratch.drop_but()
+        raise
     return STAGES[-1][1](spark, docs, sf_dir)
