@@ -13,11 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
+_ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 8 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (once per application)."""
+    """Make this package importable in Python workers (once per application).
+
+    Texts may be long, so a session that does not say how many bytes an Arrow batch may have gets ARROW_BYTES: a worker and its executor hold
+    a few batches each.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(_ARROW, None) is None:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
     if getattr(sc, "_weftgraph_shipped", False):
         return
     path = Path(tempfile.mkdtemp(prefix="weftgraph-")) / "weftgraph.zip"
