@@ -300,20 +300,35 @@ def shingle_set(text):
 
 
 def brute_classes(rows):
-    sets = {i: shingle_set(t) for i, t in rows}
-    leader = {i: i for i in sets}
+    """Classes by the weighted similarity of all pairs, with weights from plain document counts."""
+    texts = [minhash.canonical(t) for _, t in rows]
+    parts, table = [], np.zeros(1 << minhash.TABLE_BITS)
+    for _, h, counts in minhash.shingles(texts):
+        parts += np.split(h, np.cumsum(counts)[:-1])
+    for h in parts:
+        table[np.unique(np.unique(h) & np.uint32(len(table) - 1))] += 1
+    for h in parts:  # a text counts in a slot once for each of its shingles there
+        u = np.unique(h) & np.uint32(len(table) - 1)
+        slot, n = np.unique(u, return_counts=True)
+        table[slot] += n - 1
+    weigh = minhash.Idf(table, len(texts))
+    counted = [dict(zip(*map(np.ndarray.tolist, np.unique(h, return_counts=True)), strict=True)) for h in parts]
+    weighted = [{s: n * w for (s, n), w in zip(c.items(), weigh(np.array(list(c), dtype=np.uint32)).tolist(), strict=True)} for c in counted]
+    total = [sum(w.values()) for w in weighted]
+    ids = [i for i, _ in rows]
+    leader = {i: i for i in ids}
 
     def find(x):
         while leader[x] != x:
             x = leader[x]
         return x
 
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
-                leader[max(find(a), find(b))] = min(find(a), find(b))
+    for a in range(len(ids)):
+        for b in range(a):
+            x, y = (weighted[a], weighted[b]) if len(weighted[a]) < len(weighted[b]) else (weighted[b], weighted[a])
+            low = sum(min(w, y[s]) for s, w in x.items() if s in y)
+            if low and low >= 0.8 * (total[a] + total[b] - low) and find(ids[a]) != find(ids[b]):
+                leader[max(find(ids[a]), find(ids[b]))] = min(find(ids[a]), find(ids[b]))
     return {i: find(i) for i in ids}
 
 
@@ -354,8 +369,31 @@ def test_prefix_leaves_less_than_the_threshold():
     weigh = minhash.Idf(np.ones(1 << minhash.TABLE_BITS), 10)
     for n in (1, 2, 5, 10, 33):
         vec = rng.integers(0, 2**32, n, dtype=np.uint32)
-        got = minhash.prefix(vec.tobytes(), np.zeros(1 << minhash.TABLE_BITS), weigh, 0.8)
-        assert n - len(got) < 0.8 * n <= n - len(got) + 1
+        got, total = minhash.prefix(vec.tobytes(), np.zeros(1 << minhash.TABLE_BITS), weigh, 0.8)
+        assert n - len(got) < 0.8 * n <= n - len(got) + 1 and abs(total - n * weigh(vec)[0]) < 1e-4
+
+
+def test_group_that_is_split_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 1 << 12)
+    rng = random.Random(3)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(150)]
+    rows = []
+    for i in range(200):
+        w = list(base)[: 150 - rng.randrange(30)]
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+
+
+def test_repeated_passages_weigh(spark):
+    rng = random.Random(4)
+    text = " ".join("w%d" % rng.randrange(10**6) for _ in range(100))
+    rows = [(1, text), (2, f"{text} {text}"), (3, f"{text} once more")]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {1: 1, 2: 2, 3: 1}  # the same set of shingles, but twice as often
 
 
 def test_near_duplicates_on_odd_rows(spark, odd):
@@ -421,6 +459,24 @@ def test_recall_against_brute_force(spark):
         assert abs(r.score - a @ b / np.sqrt((a @ a) * (b @ b))) < 1e-12
 
 
+def test_recall_over_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(200, 32))
+    x = (centres[rng.integers(200, size=20_000)] + 0.6 * rng.normal(size=(20_000, 32))).astype(np.float32)
+    monkeypatch.setattr(neighbours, "BATCH_BYTES", 1 << 15)  # several batches too
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = {(a, c) for a, _, c, _ in neighbours.brute_force(list(range(len(x))), x)}
+    got = neighbours.nearest(df).collect()
+    assert len(got) == len(want) == 5 * 400 and len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.95 * len(want)
+
+
+def test_repeated_ids_give_unique_ranks(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.9, 0.1]), (50, [1.0, 0.0]), *((i, [1.0, 0.01 * i]) for i in (1, 2, 3) for _ in range(3)), (3, [1.0, 0.0]), (4, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "7 AS id", "7 AS v", "7 AS dim", "7 AS bound", "7 AS score")
+    got = neighbours.nearest(df).orderBy("rank").collect()
+    assert [(r.query_id, r["rank"]) for r in got] == [(50, 1), (50, 2), (50, 3), (50, 4)] and [r.vec_id for r in got][-1] == 4 and {r.vec_id for r in got} == {1, 2, 3, 4}
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, [0.5, 0.5]), (None, [1.0, 1.0]), (150, [1.0, 0.0, 0.0]), (7, [])]
@@ -473,6 +529,16 @@ def test_forward_backward_equals_enumeration():
         at += n
 
 
+def test_long_texts_pass_messages_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    counts = np.array([1, 700, 64, 65, 3, 128])
+    e, trans = rng.uniform(1e-6, 1, (int(counts.sum()), 4)), rng.uniform(0.01, 2, (4, 4))
+    got = langid.forward_backward(e.copy(), trans, counts)
+    for size in (1, 7, 10**6):
+        monkeypatch.setattr(langid, "PIECE", size)
+        assert np.allclose(langid.forward_backward(e.copy(), trans, counts), got)
+
+
 def test_words_of_mixed_text(docs):
     samples = [(r.text, r.lang) for r in docs.values() if r.lang]
     model = langid.train([(langid.word_runs(t), g) for t, g in samples])
@@ -488,7 +554,12 @@ def test_long_words_count_whole():
     one, two = "山川日本人大", "ไทยกขคง"
     model = langid.train([([run(letters, 6).encode() for _ in range(80)], lang) for letters, lang in ((one, "a"), (two, "b")) for _ in range(20)])
     assert [g for g, *_ in model.documents([run(one, 64) + "。" + run(two, 3000), run(two, 64) + run(one, 3000), run(one, 40)])] == ["b", "a", "a"]
-    assert langid.features(("x" * 70 + "end").encode(), {}) != langid.features(("x" * 70).encode(), {})
+    flat, tri, n = langid.features(["x" * 70 + "end", "", "x" * 70, "end", "日本"], {"日本": 3})
+    assert n.tolist()[1] == 0 and n.sum() == len(flat) and tri.sum() == 73 + 70 + 3 + 2
+    parts = np.split(flat, np.cumsum(n)[:-1])
+    assert set(parts[0]) - set(parts[2]) and set(parts[3]) - set(parts[0])  # "end" starts one word and ends the other
+    alone = langid.features(["日本"], {"日本": 3})[0]
+    assert alone.tolist() == parts[4].tolist() and len(alone) > len(langid.features(["日本"], {})[0])
 
 
 def test_more_languages_than_the_sample_has_rows(spark):

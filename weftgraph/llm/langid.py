@@ -40,6 +40,8 @@ WORDS_AT_ONCE, MEMO_WORDS = 100_000, 200_000
 #: Bytes of new words whose features are listed at once, and of words in the memo; a longer word is handled alone.
 LEARN_BYTES, MEMO_BYTES = 1 << 17, 1 << 24
 SALTS = 32
+#: Words of a text that messages pass in one go.
+PIECE = 64
 _STRIP = "«»„“”’‘…–—¿¡\u00a0"
 #: ASCII characters other than letters part words.
 _PARTS = bytes(32 if b < 128 and not chr(b).isalpha() else b for b in range(256))
@@ -50,47 +52,103 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PARTS).split()
 
 
-def features(word: bytes, lexicons: dict[str, int]) -> tuple[list[int], int]:
-    """Hashed features of one word and how many trigrams stand first; a word without a letter has none. Lexicon bits: one feature for each set of lexicons."""
+def bare(word: bytes) -> str:
+    """The word without quotes and dashes around it; empty if it has no letter."""
     w = word.decode("utf-8", "surrogatepass").strip(_STRIP)
-    if not any(map(str.isalpha, w)):
-        return [], 0
-    marked = f"^{w}$"
-    names = list({f"g{marked[i : i + 3]}" for i in range(len(marked) - 2)})
-    trigrams = len(names)
-    names += {f"g{marked[i : i + 2]}" for i in range(len(marked) - 1)}
-    names += [f"p{k}{w[:k]}" for k in (1, 2, 3)] + [f"s{k}{w[-k:]}" for k in (1, 2, 3)]
-    names += [f"u{c}" for c in set(w) if ord(c) > 127]
-    if (bits := lexicons.get(w)) is not None:
-        names.append(f"l{bits}")
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for n in names], trigrams
+    return w if w.isalpha() or any(map(str.isalpha, w)) else ""
+
+
+def features(words: list[str], lexicons: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed features, which of them are trigrams, features by word) of bare words, one word after another; an empty word has none.
+
+    Bigrams and trigrams of the word between marks, characters beyond ASCII, prefixes and suffixes of up to three
+    characters, and one feature for each set of lexicons that may hold a word. A gram counts as often as it occurs.
+    """
+    marked = [f"^{w}$" if w else "" for w in words]
+    size = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
+    a = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), size)
+    first = np.cumsum(size) - size
+    place = np.arange(len(a)) - first[owner]
+    left = size[owner] - place  # characters from here on, with the mark
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(salt: int, at: np.ndarray, n: int) -> None:
+        h = np.full(len(at), salt, dtype=np.uint64)
+        for k in range(n):
+            h = (h ^ a[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        found.append((owner[at], (h >> np.uint64(3)) & np.uint64((1 << BITS) - 1)))
+
+    add(3, np.flatnonzero(left >= 3), 3)
+    trigrams = len(found[0][0])
+    add(2, np.flatnonzero(left >= 2), 2)
+    add(1, np.flatnonzero(a > 127), 1)
+    some = np.flatnonzero(size)
+    for k in (1, 2, 3):
+        at = some[size[some] >= k + 2]
+        add(10 + k, first[at] + 1, k)
+        add(20 + k, first[at] + size[at] - 1 - k, k)
+    listed = [(i, bits) for i, bits in enumerate(map(lexicons.get, words)) if bits is not None]
+    if listed:
+        at, bits = (np.array(v) for v in zip(*listed, strict=True))
+        codes = np.array([zlib.crc32(b"lexicons %d" % b) for b in bits.tolist()], dtype=np.uint64)
+        found.append((at, codes & np.uint64((1 << BITS) - 1)))
+    of, flat = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    order = np.argsort(of, kind="stable")
+    return flat[order].astype(np.int64), order < trigrams, np.bincount(of, minlength=len(words))
 
 
 def forward_backward(e: np.ndarray, trans: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Label probabilities of every word; e: word factors by row, texts one after another with counts > 0 words each.
 
-    Texts advance together, the longest first, so that step t touches those with more than t words.
+    Exact, in pieces of PIECE words, so that a long text needs few steps: the transfer matrix of each piece comes first, for
+    all pieces together; messages then go from piece to piece within each text, and last through the words of all pieces together.
     """
-    order = np.argsort(-counts, kind="stable")
-    sizes = counts[order]
-    starts = (np.cumsum(counts) - counts)[order]
-    alive = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # texts with more than t words
+    n, pieces = e.shape[1], -(-counts // PIECE)
+    text = np.repeat(np.arange(len(counts)), pieces)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)  # place of a piece in its text
+    length = np.minimum(PIECE, counts[text] - at * PIECE)
+    start = (np.cumsum(counts) - counts)[text] + at * PIECE
+    order = np.argsort(-length, kind="stable")  # so that step t touches a leading part
+    start, first = start[order], (at == 0)[order][:, None]
+    alive = np.searchsorted(-length[order], -np.arange(int(length.max())), side="left")
+    carry = np.empty((len(text), n, n), dtype=e.dtype)
+    for t, m in enumerate(alive):
+        step = np.where(first[:m, :, None], 1, trans) if t == 0 else (carry[:m].reshape(-1, n) @ trans).reshape(m, n, n)
+        step = step * e[start[:m] + t][:, None, :]
+        carry[:m] = step / step.max(axis=(1, 2), keepdims=True)
+    where = np.empty_like(order)
+    where[order] = np.arange(len(order))
+    heads = np.cumsum(pieces) - pieces
+    long_first = np.argsort(-pieces, kind="stable")
+    deep = np.searchsorted(-pieces[long_first], -np.arange(int(pieces.max())), side="left")
+    into, out = np.full((len(text), n), 1 / n, dtype=e.dtype), np.full((len(text), n), 1 / n, dtype=e.dtype)
+    for k in range(1, len(deep)):
+        to = where[heads[long_first[: deep[k]]] + k]
+        before = where[heads[long_first[: deep[k]]] + k - 1]
+        v = (into[before][:, None, :] @ carry[before])[:, 0]
+        into[to] = v / v.sum(axis=1, keepdims=True)
+    for k in range(len(deep) - 2, -1, -1):
+        to = where[heads[long_first[: deep[k + 1]]] + k]
+        after = where[heads[long_first[: deep[k + 1]]] + k + 1]
+        v = (carry[after] @ out[after][:, :, None])[:, :, 0]
+        out[to] = v / v.sum(axis=1, keepdims=True)
     a = np.empty_like(e)
-    prev = None
     for t, m in enumerate(alive):
-        at = starts[:m] + t
-        v = e[at] if prev is None else (prev[:m] @ trans) * e[at]
-        v /= v.sum(axis=1, keepdims=True)
-        a[at] = prev = v
-    b = np.ones((len(sizes), e.shape[1]), dtype=e.dtype)
-    for t in range(len(alive) - 2, -1, -1):
-        m = alive[t + 1]
-        at = starts[:m] + t
-        v = (b[:m] * e[at + 1]) @ trans.T
+        v = into[:m] @ trans
+        if t == 0:
+            v = np.where(first[:m], 1, v)
+        v = v * e[start[:m] + t]
         v /= v.sum(axis=1, keepdims=True)
-        b[:m] = v
-        p = a[at] * v
-        a[at] = p / p.sum(axis=1, keepdims=True)
+        a[start[:m] + t] = into[:m] = v
+    for t in range(len(alive) - 1, -1, -1):
+        m = alive[t]
+        rows = start[:m] + t
+        p = a[rows] * out[:m]
+        v = (out[:m] * e[rows]) @ trans.T
+        a[rows] = p / p.sum(axis=1, keepdims=True)
+        out[:m] = v / v.sum(axis=1, keepdims=True)
     return a
 
 
@@ -112,17 +170,13 @@ class Tagger:
 
     def _learn(self, words: list[bytes]) -> None:
         """Put the factors of new words into the memo."""
-        found = [features(w, self.lexicons) for w in words]
-        n = np.fromiter((len(f) for f, _ in found), dtype=np.int64, count=len(found))
-        tri = np.fromiter((t for _, t in found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((f for x, _ in found for f in x), dtype=np.int64, count=int(n.sum()))
-        sums, known = np.zeros((len(found), len(self.labels))), np.zeros(len(found))
+        flat, tri, n = features(list(map(bare, words)), self.lexicons)
+        sums, known = np.zeros((len(words), len(self.labels))), np.zeros(len(words))
         some = np.flatnonzero(n)
         if len(some):
-            first = np.cumsum(n) - n
-            sums[some] = np.add.reduceat(self.weights[flat], first[some], axis=0)
-            inner = np.arange(len(flat)) - np.repeat(first, n) < np.repeat(tri, n)
-            known[some] = np.add.reduceat(self.seen[flat] & inner, first[some], dtype=np.float64) / tri[some]
+            first = (np.cumsum(n) - n)[some]
+            sums[some] = np.add.reduceat(self.weights[flat], first, axis=0)
+            known[some] = np.add.reduceat(self.seen[flat] & tri, first, dtype=np.float64) / np.add.reduceat(tri, first, dtype=np.float64)
         base, need = len(self.memo), len(self.memo) + len(words)
         if need > len(self.table):
             size = max(need, 2 * len(self.table))
@@ -189,14 +243,13 @@ def train(samples: list[tuple[list[bytes], str]], seed: int = 5) -> Tagger:
     lexicons: dict[str, int] = {}
     seen = np.zeros(1 << BITS, dtype=bool)
     for y, lang in enumerate(labels):
-        counted = Counter(w for t in by[lang] for w in t)
-        for w in counted:
-            found, trigrams = features(w, {})
-            seen[found[:trigrams]] = True
-        bare: Counter = Counter()
-        for w, c in counted.items():
-            bare[w.decode("utf-8", "surrogatepass").strip(_STRIP)] += c
-        for w, _ in sorted(bare.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
+        counted: Counter = Counter()
+        for w, c in Counter(w for t in by[lang] for w in t).items():
+            counted[bare(w)] += c
+        del counted[""]
+        flat, tri, _ = features(list(counted), {})
+        seen[flat[tri]] = True
+        for w, _ in sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]:
             lexicons[w] = lexicons.get(w, 0) | 1 << y
     words: dict[bytes, int] = {}
     x, y = np.empty((SEQUENCES, LENGTH), dtype=np.int64), np.empty((SEQUENCES, LENGTH), dtype=np.int64)
@@ -210,17 +263,15 @@ def train(samples: list[tuple[list[bytes], str]], seed: int = 5) -> Tagger:
             x[s, at : at + m] = [words.setdefault(w, len(words)) for w in doc[start : start + m]]
             y[s, at : at + m] = k
             at += m
-    lists = [features(w, lexicons)[0] for w in words]
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter((f for v in lists for f in v), dtype=np.int64, count=int(sizes.sum()))
-    owner = np.repeat(np.arange(len(lists)), sizes)
+    flat, _, sizes = features(list(map(bare, words)), lexicons)
+    owner = np.repeat(np.arange(len(words)), sizes)
     some, first = np.flatnonzero(sizes), (np.cumsum(sizes) - sizes)[np.flatnonzero(sizes)]
     w, trans = np.zeros((1 << BITS, n)), np.zeros((n, n))
     gw, gt = np.full_like(w, 1e-2), np.full_like(trans, 1e-2)
     batch = 40
     for _ in range(EPOCHS):
         for rows in np.array_split(rng.permutation(SEQUENCES), max(1, SEQUENCES // batch)):
-            scores = np.zeros((len(lists), n))
+            scores = np.zeros((len(words), n))
             if len(some):
                 scores[some] = np.add.reduceat(w[flat], first, axis=0)
             e, a = scores[x[rows]], np.exp(trans)
@@ -238,7 +289,7 @@ def train(samples: list[tuple[list[bytes], str]], seed: int = 5) -> Tagger:
             pair = f[:, :-1, :, None] * a * (e[:, 1:] * b[:, 1:])[:, :, None, :]
             pair /= pair.sum(axis=(2, 3), keepdims=True)
             true = np.eye(n)[y[rows]]
-            grad = np.zeros((len(lists), n))
+            grad = np.zeros((len(words), n))
             np.add.at(grad, x[rows].ravel(), (true - p).reshape(-1, n))
             step = np.stack([np.bincount(flat, grad[owner, k], 1 << BITS) for k in range(n)], axis=1) / len(rows) - L2 * w
             gw += step**2

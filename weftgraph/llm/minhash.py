@@ -4,23 +4,23 @@
 2. Each text gets SAMPLES consistent weighted samples. Texts with the same words are one node.
 3. Bands of ROWS samples give buckets. In a bucket of up to SMALL nodes every pair that agrees in
    AGREE of the samples is a candidate; in a larger one every node meets those of the bucket's PIVOTS (drawn by
-   hash, so bands have different ones) that agree with it best. Nodes of larger buckets that then still hold
-   several components go on to a prefix filter: each is put under its rarest shingles, as many as
-   leave less than the threshold to all others, so that two similar texts share one of them for certain. Groups
-   of several components are searched like buckets; those that keep several after that are compared in full, by
-   counting the shingles that each node outside the group's largest component shares with all others. Groups of more than
-   BLOCK nodes meet new pivots first, and BLOCK doubles with each level, so this ends.
-4. Candidates are verified on whole shingle sets, first the best one of each node; pairs that a
+   hash, so bands have different ones) that agree with it best.
+4. Candidates are verified on whole shingle sets by weighted Jaccard similarity, first the best one of each node; pairs that a
    component already joins need no verification. Links become classes by star contraction.
-
-A pair is linked where its weighted Jaccard similarity is at least the threshold, or that of
-the plain shingle sets is (the weights alone would part members of very large groups of near copies, whose
-common shingles count as frequent).
+5. Larger buckets that then still hold several components are settled exactly. All their nodes but those of the largest
+   component, and those of its nodes that share a shingle with them, go through a prefix filter: each is put under its rarest
+   shingles, as many as leave less than the threshold to all others, so that two similar texts share one of them for
+   certain. These groups are searched like buckets first. Where one still holds several components, it is split by total
+   weight (similar texts lie in the same or in neighbouring classes of WIDTH) and into salted blocks of BLOCK nodes and
+   BLOCK_BYTES; every two blocks that can hold a similar pair meet in one task, which counts shared shingles.
+
+A pair is linked where its weighted Jaccard similarity is at least the threshold. A shingle weighs its count in the text times
+1 + SPREAD * idf, idf from 0 (in all texts) to 1 (in one). The spread is small on purpose: it keeps a very large group
+of near copies, whose common shingles are frequent, from falling apart at its members' few edits.
 """
 
 from __future__ import annotations
 
-import logging
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -29,29 +29,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.llm.tasks import tidy
 from weftgraph.llm.words import Words, canonical, chunks, mix64
 from weftgraph.operators.components import star_components
-from weftgraph.runtime import Scratch, cut, release, ship_package
+from weftgraph.runtime import Scratch, fresh, release, ship_package
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
-#: Candidates agree in this share of their samples: at similarity 0.8 a pair falls below with a chance of 1e-5.
-AGREE = 0.5
-SMALL, PIVOTS, BEST, BLOCK = 24, 8, 3, 2048
-#: Bits of the filter of wanted ids for each of them, and at most (16 MB).
+#: Candidates of buckets agree in this share of their samples (at similarity 0.8 a pair falls below with a chance of 1e-5), those of prefix groups in the second.
+AGREE, AGREE_PREFIX = 0.5, 1 / 3
+SMALL, PIVOTS, BEST = 24, 8, 3
+#: Nodes and shingle bytes of one block of a group (a larger node is a block of its own), and the ratio of total weights in one class (1 / threshold at least).
+BLOCK, BLOCK_BYTES, WIDTH = 1024, 1 << 23, 1.2501
+#: Bits of the filter of wanted ids or shingles for each of them, and at most (16 MB).
 FILTER_BITS, FILTER_MOST = 16, 1 << 27
 #: Counters of the document-count table, a fixed size, dealt in slices.
 TABLE_BITS, SLICES = 20, 128
 #: Weight of the rarest shingle is 1 + SPREAD times that of one found everywhere.
 SPREAD = 0.25
 
-log = logging.getLogger(__name__)
 _LOG = -np.log((np.arange(65536, dtype=np.float32) + 0.5) / 65536).astype(np.float32)
 
 
@@ -127,15 +128,13 @@ def icws(hashes: np.ndarray, weights: np.ndarray, counts: np.ndarray, samples: i
     return out
 
 
-def similarity(a: bytes, b: bytes, idf: Idf) -> tuple[float, float]:
-    """(weighted, plain) Jaccard similarity of two packed shingle lists."""
+def similarity(a: bytes, b: bytes, idf: Idf) -> float:
+    """Weighted Jaccard similarity of two packed shingle lists."""
     (x, nx), (y, ny) = (np.unique(np.frombuffer(v, dtype=np.uint32), return_counts=True) for v in (a, b))
     both, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    wx, wy, wb = idf(x), idf(y), idf(both)
-    low = float((wb * np.minimum(nx[ix], ny[iy])).sum())
-    high = float((wx * nx).sum() + (wy * ny).sum()) - low
-    plain = len(x) + len(y) - len(both)
-    return (low / high if high else 0.0), (len(both) / plain if plain else 0.0)
+    low = float((idf(both) * np.minimum(nx[ix], ny[iy])).sum(dtype=np.float64))
+    high = float((idf(x) * nx).sum(dtype=np.float64) + (idf(y) * ny).sum(dtype=np.float64)) - low
+    return low / high if high else 0.0
 
 
 def _of_texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,32 +151,43 @@ def _of_vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
-    """Texts by shingle hash over all rows of one column, and the number of texts; the result's size is fixed."""
+    """Texts by shingle hash over all rows of one column, and the number of texts; the result's size is fixed.
+
+    A partition hands on its counters other than zero, so what is shuffled follows the data where that is less than the table.
+    """
     size, width = 1 << TABLE_BITS, (1 << TABLE_BITS) // SLICES
 
     @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, docs = np.zeros(size, dtype=np.int64), 0
+        table, docs = np.zeros(size, dtype=np.int32), 0
         for batch in batches:
             for n, hashes in different(batch.column(0)):
                 docs += n
                 if len(hashes) > 1 << 15:
-                    table += np.bincount(hashes & np.uint32(size - 1), minlength=size)
+                    table += np.bincount(hashes & np.uint32(size - 1), minlength=size).astype(np.int32)
                 else:
                     np.add.at(table, hashes & np.uint32(size - 1), 1)
         if docs:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(-1, SLICES), pa.int32()), pa.array([np.int64(docs).tobytes(), *(zlib.compress(table[k * width : (k + 1) * width].astype(np.int32).tobytes(), 1) for k in range(SLICES))], pa.binary())],
-                names=["slice", "counts"],
-            )
+            some = np.flatnonzero(table)
+            ends = np.searchsorted(some, np.arange(SLICES + 1) * width)
+            packed = [np.int64(docs).tobytes()]
+            for k in range(SLICES):
+                at = some[ends[k] : ends[k + 1]]
+                packed.append(zlib.compress((at - k * width).astype(np.uint16).tobytes() + table[at].tobytes(), 1) if len(at) else None)
+            full = [k for k, v in enumerate(packed) if v]
+            yield pa.RecordBatch.from_arrays([pa.array([k - 1 for k in full], pa.int32()), pa.array([packed[k] for k in full], pa.binary())], names=["slice", "counts"])
 
     @tidy
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = np.frombuffer(v.as_buffer(), dtype=np.int64) if k < 0 else np.frombuffer(zlib.decompress(v.as_buffer()), dtype=np.int32).astype(np.int64)
-                sums[k] = sums[k] + v if k in sums else v
+                if k < 0:
+                    sums[k] = sums.get(k, 0) + np.frombuffer(v.as_buffer(), dtype=np.int64)
+                else:
+                    raw = zlib.decompress(v.as_buffer())
+                    n = len(raw) // 6
+                    sums.setdefault(k, np.zeros(width, dtype=np.int64))[np.frombuffer(raw, dtype=np.uint16, count=n)] += np.frombuffer(raw, dtype=np.int32, offset=2 * n)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
     kind = "slice int, counts binary"
@@ -193,33 +203,35 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
     return table, docs
 
 
-def prefix(vec: bytes, rank: np.ndarray, weigh: Idf, threshold: float) -> np.ndarray:
-    """The rarest shingles (by rank, then hash) of a text that leave less than the threshold, plain and weighted, to its others."""
+def prefix(vec: bytes, rank: np.ndarray, weigh: Idf, threshold: float) -> tuple[np.ndarray, float]:
+    """The rarest shingles (by rank, then hash) of a text that leave less than the threshold to its others, and its total weight."""
     u, tf = np.unique(np.frombuffer(vec, dtype=np.uint32), return_counts=True)
     order = np.lexsort((u, rank[u & np.uint32((1 << TABLE_BITS) - 1)]))
-    w = (weigh(u) * tf)[order]
+    w = (weigh(u) * tf)[order].astype(np.float64)
     left = w.sum() - np.cumsum(w)  # behind the first k + 1
-    plain = len(u) - int(np.ceil(threshold * len(u) - 1e-9)) + 1
-    k = max(plain, int(np.argmax(left < (threshold - 1e-6) * w.sum())) + 1)
-    return u[order[:k]]
+    k = int(np.argmax(left < (threshold - 1e-6) * w.sum())) + 1
+    return u[order[:k]], float(w.sum())
 
 
-def _prefixes(vectors: DataFrame, rank: np.ndarray, idf, threshold: float) -> DataFrame:
-    """(bucket, key) of every shingle in a node's prefix that another node may have (one counted once is its own)."""
-    shared = vectors.sparkSession.sparkContext.broadcast(rank)
+def _prefixes(vectors: DataFrame, rank, idf, threshold: float, wanted=None) -> DataFrame:
+    """(bucket, key, total, n_bytes) of every shingle in a node's prefix that another node may have (one counted once is its own) and that `wanted` may hold."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = Idf(*idf.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [prefix(v.as_buffer(), shared.value, weigh, threshold) for v in part.column("vec")]
-                found = [f[shared.value[f & np.uint32((1 << TABLE_BITS) - 1)] > 1] for f in found]
-                rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), part.column("key").take(pa.array(rows))], names=["bucket", "key"])
+                found, totals = zip(*(prefix(v.as_buffer(), rank.value, idf.value, threshold) for v in part.column("vec")), strict=True)
+                found = [f[rank.value[f & np.uint32((1 << TABLE_BITS) - 1)] > 1] for f in found]
+                if wanted is not None:
+                    found = [f[_holds(wanted.value, mix64(f.astype(np.uint64)))] for f in found]
+                sizes = [len(f) for f in found]
+                rows = np.repeat(np.arange(len(found)), sizes)
+                bytes_of = np.array([len(v.as_buffer()) for v in part.column("vec")])
+                cols = [pa.array(np.concatenate(found).astype(np.int64)), part.column("key").take(pa.array(rows)), pa.array(np.array(totals)[rows]), pa.array(bytes_of[rows])]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "key", "total", "n_bytes"])
 
-    return vectors.select("key", "vec").mapInArrow(run, "bucket long, key binary")
+    return vectors.select("key", "vec").mapInArrow(run, "bucket long, key binary, total double, n_bytes long")
 
 
 def _banded(samples: np.ndarray) -> np.ndarray:
@@ -238,10 +250,10 @@ def _signed(df: DataFrame, text: str, idf) -> DataFrame:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = Idf(*idf.value)
+        weigh = idf.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 texts = [canonical(v) for v in part.column(text).to_pylist()]
                 keys = [xxhash.xxh3_128_digest(t) if t else None for t in texts]
                 sigs, bands = [None] * len(texts), [None] * len(texts)
@@ -283,115 +295,171 @@ def _vectors(df: DataFrame, text: str) -> DataFrame:
 AGREEMENT = "aggregate(zip_with({}, {}, (s, t) -> int(s = t)), 0, (n, v) -> n + v)"
 
 
-def _candidates(members: DataFrame, small: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """((a, b, agree), (bucket, key, sig)): candidate pairs of different components c, and the members of buckets of more than `small`."""
+def _candidates(members: DataFrame, agree: float, seed: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((a, b, agree), members of buckets of more than SMALL): candidate pairs of different components c among (bucket, key, sig, c, ...)."""
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_bucket"), "n")
     met = members.join(sizes, F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    large = cut(met.filter(F.col("n") > small).select("bucket", "key", "sig", "c"))
+    large = scratch.write(met.filter(F.col("n") > SMALL).drop("n"))
     drawn = large.groupBy("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(PIVOTS))).agg(F.min(F.struct(F.xxhash64("key", "bucket", F.lit(seed)).alias("h"), "key", "sig", "c")).alias("p"))
     drawn = drawn.groupBy(F.col("bucket").alias("_bucket")).agg(F.collect_list(F.struct("p.key", "p.sig", "p.c")).alias("pivots"))  # PIVOTS at most
-    near = F.filter(F.transform("pivots", lambda p: F.struct(F.aggregate(F.zip_with("sig", p["sig"], lambda s, t: (s == t).cast("int")), F.lit(0), lambda n, v: n + v).alias("agree"), p["key"].alias("key"), p["c"].alias("c"))), lambda p: (p["agree"] >= AGREE * SAMPLES) & (p["c"] != F.col("c")))
+    least = agree * SAMPLES
+    near = F.filter(F.transform("pivots", lambda p: F.struct(F.aggregate(F.zip_with("sig", p["sig"], lambda s, t: (s == t).cast("int")), F.lit(0), lambda n, v: n + v).alias("agree"), p["key"].alias("key"), p["c"].alias("c"))), lambda p: (p["agree"] >= least) & (p["c"] != F.col("c")))
     best = large.join(drawn, F.col("bucket") == F.col("_bucket")).select(F.col("key").alias("a"), F.explode(F.slice(F.sort_array(near, asc=False), 1, BEST)).alias("p"))
     best = best.select("a", F.col("p.key").alias("b"), "p.agree")
-    groups = met.filter(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "sig", "c"))).alias("m"))
+    groups = met.filter(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("key", "sig", "c"))).alias("m"))
     each = f"transform(filter(slice(m, i + 2, size(m)), y -> y.c <> x.c), y -> struct(x.key AS a, y.key AS b, {AGREEMENT.format('x.sig', 'y.sig')} AS agree))"
-    pairs = groups.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> filter({each}, z -> z.agree >= {AGREE * SAMPLES})))")).alias("p")).select("p.a", "p.b", "p.agree")
-    ordered = best.union(pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "agree").distinct()
-    return ordered, large
+    pairs = groups.select(F.explode(F.expr(f"flatten(transform(m, (x, i) -> filter({each}, z -> z.agree >= {least})))")).alias("p")).select("p.a", "p.b", "p.agree")
+    return best.union(pairs).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "agree").distinct(), large
 
 
-def _labelled(df: DataFrame, comps: DataFrame, key: str, out: str) -> DataFrame:
+def _labelled(df: DataFrame, comps: DataFrame | None, key: str, out: str) -> DataFrame:
+    """Append the component of a node; one without links is its own."""
+    if comps is None:
+        return df.withColumn(out, F.col(key))
     c = comps.select(F.col("node").alias("_node"), F.col("component").alias("_comp"))
     return df.join(c, F.col(key) == F.col("_node"), "left").withColumn(out, F.coalesce("_comp", key)).drop("_node", "_comp")
 
 
+class _Search:
+    """Links found so far, the components that they make, and the shingles of the nodes that were looked at."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, idf, threshold: float, scratch: Scratch):
+        self.texts, self.nodes, self.idf, self.threshold, self.scratch = texts, nodes, idf, threshold, scratch
+        self.links: list[DataFrame] = []
+        self.comps: DataFrame | None = None
+        self.vectors: list[DataFrame] = []
+
+    def fetch(self, wanted: DataFrame) -> None:
+        """Shingles of the nodes (key), besides those known already; a filter on ids keeps most texts from being shuffled."""
+        for known in self.vectors:
+            wanted = wanted.join(known.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_anti")
+        keys = wanted.select(F.col("key").alias("_w"))
+        need = self.scratch.write(self.nodes.join(keys, F.col("key") == F.col("_w"), "left_semi").select("key", "rep"))
+        if not need.isEmpty():
+            met = _maybe(self.texts, "_id", need, "rep").join(need, F.col("_id").eqNullSafe(F.col("rep"))).select("key", "_text")
+            self.vectors.append(self.scratch.write(_vectors(met, "_text")))
+        self.scratch.drop(need)
+        release(self.scratch.spark)
+
+    def known(self) -> DataFrame:
+        return reduce(DataFrame.union, self.vectors)
+
+    def add(self, found: DataFrame) -> None:
+        """New links; the components so far are stars that they join."""
+        found = self.scratch.write(found)
+        self.links.append(found)
+        edges = found.select("a", "b")
+        if self.comps is not None:
+            edges = edges.union(self.comps.select("node", "component"))
+        old, self.comps = self.comps, star_components(edges, "a", "b", self.scratch)
+        if old is not None:
+            self.scratch.drop(old)
+        release(self.scratch.spark)
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Link those of the candidate pairs (a, b, agree) that reach the threshold: each node's best first, then what is still apart."""
+        pairs = self.scratch.write(pairs)
+        if not pairs.isEmpty():
+            self.fetch(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
+            best = self.scratch.write(pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("p")).select("a", F.col("p.b").alias("b")))
+            self.add(_verified(best, self.known(), self.idf, self.threshold))
+            done = best.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+            rest = pairs.select("a", "b").join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+            rest = self.scratch.write(_labelled(_labelled(rest, self.comps, "a", "_ca"), self.comps, "b", "_cb").filter("_ca <> _cb").drop("_ca", "_cb"))
+            if not rest.isEmpty():
+                self.add(_verified(rest, self.known(), self.idf, self.threshold))
+            self.scratch.drop(best, rest)
+        self.scratch.drop(pairs)
+        release(self.scratch.spark)
+
+    def settle(self, large: DataFrame) -> None:
+        """All links between the nodes of mixed buckets (key, c), by the prefix filter."""
+        write = self.scratch.write
+        hot = write(large.groupBy("key").agg(F.first("c").alias("c")))
+        self.fetch(hot.select("key"))
+        own = write(self.known().join(hot.select(F.col("key").alias("_h"), "c"), F.col("key") == F.col("_h")).select("key", "c", "vec"))
+        spark = self.scratch.spark
+        rank = spark.sparkContext.broadcast(np.minimum(_count_table(own.select("vec"), _of_vectors)[0], 2**31 - 1).astype(np.int32))
+        main = hot.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").first()["c"]
+        is_main = F.col("c") == F.lit(bytes(main))
+        outer = write(_prefixes(own.filter(~is_main), rank, self.idf, self.threshold))
+        wanted = spark.sparkContext.broadcast(_filter_of(outer.select(F.col("bucket").alias("v")).distinct()))
+        inner = write(_prefixes(own.filter(is_main), rank, self.idf, self.threshold, wanted))
+        members = write(_with_signs(outer.union(inner), hot, self.nodes))
+        self.scratch.drop(outer, inner)
+        release(spark)
+        pairs, left = _candidates(members, AGREE_PREFIX, 1, self.scratch)
+        self.verify(pairs)
+        rest = write(_mixed(_labelled(left.drop("c", "sig"), self.comps, "key", "c")))
+        self.scratch.drop(members, left)
+        if not rest.isEmpty():
+            self.add(_searched(rest, own.select("key", "vec"), self.idf, self.threshold, self.scratch))
+        self.scratch.drop(rest, own, hot)
+        release(spark)
+
+
 def near_duplicate_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, class_id, n_links) of every row of df.
 
     class_id is the least id of the row's class; n_links counts the verified links of its
-    text's words to other texts (a text may be in a class without links if only copies share its words).
+    text's words to other texts. Pairs that others have joined already are not verified, so n_links is no degree; a
+    text may be in a class without links if only copies share its words.
     Rows whose texts have the same words share a class. Null and empty texts, and texts of white space only, are
     each a class of their own. Rows with a null id take part; a class of null ids only has a
-    null class_id. An empty table gives an empty result.
+    null class_id. An empty table gives an empty result. Other columns play no part, whatever their names.
     """
     spark = df.sparkSession
     ship_package(spark)
-    texts = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    table, n_docs = _count_table(texts.select("_text"), _of_texts)
-    idf = spark.sparkContext.broadcast((table, n_docs))
     scratch = Scratch(spark, "minhash")
-    signed = scratch.write(_signed(texts, "_text", idf))
-    nodes = signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig"))
-    nodes = scratch.write(nodes)
-    members = nodes.select("key", F.explode("bands").alias("bucket"))
-    members = _with_signs(members, nodes).withColumn("c", F.col("key"))
+    try:
+        done = scratch.write(_classes(df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")), threshold, scratch))
+    except BaseException:
+        scratch.drop_but()
+        raise
+    scratch.drop_but(done)
     release(spark)
-    links, comps, vectors, tested, level = None, None, None, None, 0
-    while True:
-        pairs, large = _candidates(members, SMALL, level)
-        if comps is not None:
-            pairs = _apart(pairs, comps)
-            pairs = _without(pairs, tested)
-        pairs = cut(pairs)
-        if not pairs.isEmpty():
-            vectors = _with_vectors(texts, nodes, pairs, vectors)
-            best = pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-            best = cut(best)
-            found = cut(_verified(best, vectors, idf, threshold))
-            links = found if links is None else links.union(found)
-            comps = cut(star_components(links, "a", "b"))
-            release(spark)
-            rest = cut(_apart(_without(pairs.select("a", "b"), best), comps))
-            tested = best if tested is None else tested.union(best)
-            if not rest.isEmpty():
-                tested = tested.union(rest)
-                found = cut(_verified(rest, vectors, idf, threshold))
-                links = links.union(found)
-                comps = cut(star_components(links, "a", "b"))
-                release(spark)
-        log.info("level %d: %d members", level, members.count()) if log.isEnabledFor(logging.INFO) else None
-        level += 1
-        members = cut(large if comps is None else _mixed(_labelled(large.drop("c"), comps, "key", "c")))
-        if level == 1 and not members.isEmpty():
-            hot = cut(members.select("key").distinct())
-            vectors = _with_vectors(texts, nodes, hot.select(F.col("key").alias("a"), F.col("key").alias("b")), vectors)
-            own = cut(vectors.join(hot.select(F.col("key").alias("_h")), F.col("key") == F.col("_h"), "left_semi"))
-            members = _with_signs(_prefixes(own, _count_table(own.select("vec"), _of_vectors)[0], idf, threshold), nodes)
-            members = cut(_mixed(_labelled(members, comps, "key", "c") if comps is not None else members.withColumn("c", F.col("key"))))
-        elif level > 1 and not members.isEmpty():
-            sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).select(F.col("bucket").alias("_b"), "n")
-            sized = cut(members.join(sizes, F.col("bucket") == F.col("_b")).drop("_b"))
-            most = BLOCK << (level - 2)
-            found = cut(_searched(sized.filter(F.col("n") <= most), vectors, idf, threshold))
-            links = found if links is None else links.union(found)
-            comps = cut(star_components(links, "a", "b"))
-            members = cut(_mixed(_labelled(sized.filter(F.col("n") > most).drop("n", "c"), comps, "key", "c")))
-            del sized
-        del pairs, large
-        release(spark)
-        if members.isEmpty():
-            break
-    own = signed.select(F.col("_id"), "key")
-    if comps is None:
+    return done.select(F.col("_id").alias(id_col), "class_id", "n_links")
+
+
+def _classes(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    idf = texts.sparkSession.sparkContext.broadcast(Idf(*_count_table(texts.select("_text"), _of_texts)))
+    signed = scratch.write(_signed(texts, "_text", idf))
+    nodes = scratch.write(signed.filter("key IS NOT NULL").groupBy("key").agg(F.min("_id").alias("rep"), F.min("bands").alias("bands"), F.min("sig").alias("sig")))
+    own = scratch.write(signed.select("_id", "key"))
+    scratch.drop(signed)
+    search = _Search(texts, nodes, idf, threshold, scratch)
+    members = scratch.write(_with_signs(nodes.select("key", F.explode("bands").alias("bucket")), None, nodes))
+    release(texts.sparkSession)
+    pairs, large = _candidates(members, AGREE, 0, scratch)
+    search.verify(pairs)
+    mixed = scratch.write(_mixed(_labelled(large.select("bucket", "key"), search.comps, "key", "c")))
+    scratch.drop(members, large)
+    if not mixed.isEmpty():
+        search.settle(mixed)
+    scratch.drop(mixed)
+    if not search.links:
         reps = nodes.select(F.col("key").alias("_key"), F.col("rep").alias("_class"), F.lit(0).cast("long").alias("n_links"))
     else:
+        links = reduce(DataFrame.union, search.links)
         ends = links.select(F.col("a").alias("_key")).union(links.select(F.col("b").alias("_key"))).groupBy("_key").agg(F.count("*").alias("n_links"))
-        named = _labelled(nodes.select("key", "rep"), comps, "key", "comp")
+        named = _labelled(nodes.select("key", "rep"), search.comps, "key", "comp")
         least = named.groupBy("comp").agg(F.min("rep").alias("_class")).withColumnRenamed("comp", "_c")
         reps = named.join(least, F.col("comp") == F.col("_c")).join(ends.withColumnRenamed("_key", "_e"), F.col("key") == F.col("_e"), "left")
         reps = reps.select(F.col("key").alias("_key"), "_class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     out = own.join(reps, F.col("key") == F.col("_key"), "left")
-    kind = dict(df.dtypes)[id_col]
-    return out.select(
-        F.col("_id").alias(id_col), F.when(F.col("key").isNull(), F.col("_id")).otherwise(F.col("_class")).cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
-    )
+    kind = texts.schema["_id"].dataType
+    return out.select("_id", F.when(F.col("key").isNull(), F.col("_id")).otherwise(F.col("_class")).cast(kind).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def _with_signs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(bucket, key, sig) of the buckets of two or more members; only those carry samples on."""
+def _with_signs(members: DataFrame, comps: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """(bucket, key, ..., sig, c) of the buckets of two or more members (and components, if comps (key, c) are given); only those carry samples on."""
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("bucket").alias("_b"))
-    members = cut(members.select("bucket", "key").join(shared, F.col("bucket") == F.col("_b"), "left_semi"))
-    return cut(members.join(nodes.select(F.col("key").alias("_k"), "sig"), F.col("key") == F.col("_k")).select("bucket", "key", "sig"))
+    members = members.join(shared, F.col("bucket") == F.col("_b"), "left_semi")
+    if comps is None:
+        members = members.withColumn("c", F.col("key"))
+    else:
+        members = _mixed(members.join(comps.select(F.col("key").alias("_h"), "c"), F.col("key") == F.col("_h")).drop("_h"))
+    return members.join(nodes.select(F.col("key").alias("_k"), "sig"), F.col("key") == F.col("_k")).drop("_k")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -400,24 +468,22 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(some, F.col("bucket") == F.col("_b"), "left_semi")
 
 
-def _without(pairs: DataFrame, done: DataFrame) -> DataFrame:
-    d = done.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    return pairs.join(d, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-
+def _holds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a packed filter may hold the values with these 64-bit hashes."""
+    p = (hashes & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs that no component joins yet."""
-    return _labelled(_labelled(pairs, comps, "a", "_ca"), comps, "b", "_cb").filter("_ca <> _cb").drop("_ca", "_cb")
 
-
-def _maybe(texts: DataFrame, id_col: str, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows of texts whose id may be among the wanted ones, so that the join after it shuffles few texts.
-
-    A filter of FILTER_BITS bits for each wanted id, FILTER_MOST at most; a full filter keeps every row.
-    """
-    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * wanted.count() - 1).bit_length()))
+def _filter_of(values: DataFrame) -> np.ndarray:
+    """A packed filter of the longs in column v: FILTER_BITS bits for each, FILTER_MOST at most; a full filter holds every value."""
+    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * values.count() - 1).bit_length()))
     width = bits // SLICES
-    places = wanted.select(F.pmod(F.xxhash64(key), F.lit(bits)).alias("p")).select((F.col("p") / width).cast("int").alias("slice"), F.col("p") % width)
+
+    @tidy
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = (mix64(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((p // width).astype(np.int32)), pa.array((p % width).astype(np.int32))], names=["slice", "at"])
 
     @tidy
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,44 +495,53 @@ def _maybe(texts: DataFrame, id_col: str, wanted: DataFrame, key: str) -> DataFr
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([np.packbits(v).tobytes() for v in found.values()], pa.binary())], names=["slice", "bits"])
 
     table = np.zeros(bits // 8, dtype=np.uint8)
-    for r in places.repartition("slice").mapInArrow(fill, "slice int, bits binary").collect():
+    for r in values.select("v").mapInArrow(place, "slice int, at int").repartition("slice").mapInArrow(fill, "slice int, bits binary").collect():
         table[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] |= np.frombuffer(r["bits"], dtype=np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def may(place: pd.Series) -> pd.Series:
-        p = place.to_numpy()
-        return pd.Series((shared.value[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool))
-
-    return texts.filter(may(F.pmod(F.xxhash64(id_col), F.lit(bits))))
+    return table
 
 
-def _with_vectors(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
-    """Shingles of all nodes in pairs, besides those known already."""
-    wanted = pairs.select(F.col("a").alias("_w")).union(pairs.select(F.col("b").alias("_w"))).distinct()
-    if known is not None:
-        wanted = wanted.join(known.select(F.col("key").alias("_k")), F.col("_w") == F.col("_k"), "left_anti")
-    need = cut(nodes.join(wanted, F.col("key") == F.col("_w"), "left_semi").select("key", "rep"))
-    got = cut(_vectors(_maybe(texts, "_id", need, "rep").join(need, F.col("_id").eqNullSafe(F.col("rep"))).select("key", "_text"), "_text"))
-    return got if known is None else reduce(DataFrame.union, [known, got])
-
+def _maybe(texts: DataFrame, id_col: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of texts whose id may be among the wanted ones, so that the join after it shuffles few texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64(key).alias("v"))))
 
-def _searched(members: DataFrame, vectors: DataFrame, idf, threshold: float) -> DataFrame:
-    """(a, b): all links between nodes of different components in each bucket, one task at a time holding one bucket."""
+    @F.pandas_udf("boolean")
+    def may(v: pd.Series) -> pd.Series:
+        return pd.Series(_holds(shared.value, mix64(v.to_numpy().view(np.uint64))))
+
+    return texts.filter(may(F.xxhash64(id_col)))
+
+
+def _searched(members: DataFrame, vectors: DataFrame, idf, threshold: float, scratch: Scratch) -> DataFrame:
+    """(a, b): all links between nodes of different components in each bucket of (bucket, key, c, total, n_bytes), one pair of blocks at a time."""
+    write = scratch.write
+    classed = members.withColumn("k", F.floor(F.log("total") / F.log(F.lit(max(WIDTH, 1.0001 / threshold)))))
+    sizes = classed.groupBy("bucket", "k").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("parts"))
+    sizes = write(sizes)
+    shifted = lambda by, name: sizes.select(F.col("bucket").alias(f"_b{name}"), (F.col("k") + by).alias(f"_k{name}"), F.col("parts").alias(name))
+    met = classed
+    for by, name in ((0, "parts"), (-1, "above"), (1, "below")):
+        met = met.join(shifted(by, name), (F.col("bucket") == F.col(f"_b{name}")) & (F.col("k") == F.col(f"_k{name}")), "left" if by else "inner").drop(f"_b{name}", f"_k{name}")
+    met = met.withColumn("i", F.pmod(F.xxhash64("key", F.lit(7)), F.col("parts")).cast("int"))
+    cells = F.expr(
+        "concat(transform(sequence(0, parts - 1), j -> struct(k AS lo, k AS hi, least(i, j) AS p, greatest(i, j) AS q)), "
+        "transform(if(above IS NULL, cast(array() AS array<int>), sequence(0, above - 1)), j -> struct(k AS lo, k + 1 AS hi, i AS p, j AS q)), "
+        "transform(if(below IS NULL, cast(array() AS array<int>), sequence(0, below - 1)), j -> struct(k - 1 AS lo, k AS hi, j AS p, i AS q)))"
+    )
+    dealt = met.select(F.explode(cells).alias("cell"), "bucket", "key", "c").select(F.xxhash64("bucket", "cell").alias("bucket"), "key", "c")
+    dealt = write(_mixed(dealt))
     v = vectors.select(F.col("key").alias("_v"), "vec")
-    groups = members.select("bucket", "key", "c").join(v, F.col("key") == F.col("_v")).groupBy("bucket").agg(F.collect_list(F.struct("key", "c", "vec")).alias("m"))
+    groups = dealt.join(v, F.col("key") == F.col("_v")).groupBy("bucket").agg(F.collect_list(F.struct("key", "c", "vec")).alias("m"))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = Idf(*idf.value)
         for batch in batches:
             for group in batch.column("m"):
                 keys, comps, vecs = (c.to_pylist() for c in group.values.flatten())
-                a, b = linked(comps, vecs, weigh, threshold)
+                a, b = linked(comps, vecs, idf.value, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in a], pa.binary()), pa.array([keys[i] for i in b], pa.binary())], names=["a", "b"])
 
-    met = groups.select("m").mapInArrow(run, "a binary, b binary")
-    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    found = groups.select("m").mapInArrow(run, "a binary, b binary")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def linked(comps: list[bytes], vecs: list[bytes], weigh: Idf, threshold: float) -> tuple[list[int], list[int]]:
@@ -476,7 +551,7 @@ def linked(comps: list[bytes], vecs: list[bytes], weigh: Idf, threshold: float)
     parts = [np.unique(np.frombuffer(v, dtype=np.uint32), return_counts=True) for v in vecs]
     sizes = np.array([len(u) for u, _ in parts])
     owner, flat, tf = np.repeat(np.arange(n), sizes), np.concatenate([u for u, _ in parts]), np.concatenate([t for _, t in parts])
-    w = weigh(flat)
+    w = weigh(flat).astype(np.float64)
     total = np.bincount(owner, w * tf, n)
     order = np.argsort(flat, kind="stable")
     shingle, start = np.unique(flat[order], return_index=True)
@@ -487,9 +562,8 @@ def linked(comps: list[bytes], vecs: list[bytes], weigh: Idf, threshold: float)
         at = np.searchsorted(shingle, u)
         lengths = stop[at] - start[at]
         rows = order[np.repeat(start[at] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())]
-        plain = np.bincount(owner[rows], minlength=n)
         low = np.bincount(owner[rows], w[rows] * np.minimum(tf[rows], np.repeat(t, lengths)), n)
-        score = np.maximum(plain / (sizes + sizes[i] - plain), low / (total + total[i] - low))
+        score = low / (total + total[i] - low)
         hits = np.flatnonzero((score >= threshold) & (comp != comp[i])).tolist()
         a += [i] * len(hits)
         b += hits
@@ -504,9 +578,9 @@ def _verified(pairs: DataFrame, vectors: DataFrame, idf, threshold: float) -> Da
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weigh = Idf(*idf.value)
+        weigh = idf.value
         for batch in batches:
-            keep = [max(similarity(x.as_py(), y.as_py(), weigh)) >= threshold for x, y in zip(batch.column("va"), batch.column("vb"), strict=True)]
+            keep = [similarity(x.as_py(), y.as_py(), weigh) >= threshold for x, y in zip(batch.column("va"), batch.column("vb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return met.mapInArrow(run, "a binary, b binary")
@@ -518,10 +592,11 @@ def op5_weighted_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that lead their class of near duplicates: those of the least id, and of rows repeated with that id, one.
+    """The rows of docs that lead their class of near duplicates: those of the least id, and of rows repeated with that id and text, one.
 
-    All columns stay.
+    All columns stay, whatever their names.
     """
     classes = near_duplicate_classes(docs, id_col, text)
-    leaders = classes.filter(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_lead")).distinct()
-    return docs.join(leaders, F.col(id_col).eqNullSafe(F.col("_lead")), "left_semi").dropDuplicates([id_col, text])
+    (lead,) = fresh(docs.columns, "lead")
+    leaders = classes.filter(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias(lead)).distinct()
+    return docs.join(leaders, F.col(f"`{id_col}`").eqNullSafe(F.col(lead)), "left_semi").dropDuplicates([id_col, text])
