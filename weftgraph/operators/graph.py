@@ -182,7 +182,7 @@ def back_edge_cycles(edges: DataFrame, least: int = 1) -> DataFrame:
                     at[nxt] = len(path)
                     path.append(nxt)
                     walk.append(iter(near.get(nxt, ())))
-        return pd.DataFrame({"component": [pdf["component"].iloc[0]] * len(out), "cycle": out})
+        return pd.DataFrame({"component": pd.Series([pdf["component"].iloc[0]] * len(out), dtype=object), "cycle": pd.Series(out, dtype=object)})
 
     return tagged.groupBy("component").applyInPandas(search, "component string, cycle array<string>")
 

@@ -1 +1 @@
-
+"""Whole analyses: from source files to manifests, traces and differences."""
