@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 2 << 20
 
 
 def ship_package(spark: SparkSession) -> None:
