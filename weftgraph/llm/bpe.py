@@ -40,7 +40,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Words whose ids a task keeps; beyond that the memo starts anew.
 MEMO_WORDS = 200_000
 #: Rows and text bytes of one output batch; a longer text is handled alone.
-ROWS_OUT, BYTES_OUT = 256, 1 << 22
+ROWS_OUT, BYTES_OUT = 256, 1 << 20
 
 
 def byte_symbols() -> list[str]:

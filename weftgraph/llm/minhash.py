@@ -26,7 +26,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -269,26 +268,28 @@ def _signed(df: DataFrame, text: str, idf) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def _vectors(df: DataFrame, text: str) -> DataFrame:
-    """(key, vec): the packed shingles of each text with the expected digest `key`."""
+def _vectors(texts: DataFrame, wanted) -> DataFrame:
+    """(key, vec): digest and packed shingles of the texts whose id the broadcast filter may hold; both come from one pass over the texts."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [canonical(v) for v in part.column(text).to_pylist()]
+            some = _holds(wanted.value, mix64(batch.column("h").to_numpy().view(np.uint64)))
+            if not some.any():
+                continue
+            column = batch.column("_text").filter(pa.array(some))
+            for at in range(0, len(column), 256):
+                texts = [canonical(v) for v in column.slice(at, 256).to_pylist()]
                 keys, vecs = [], []
                 for first, h, counts in shingles(texts):
                     ends = np.cumsum(counts)
                     for i, (e, n) in enumerate(zip(ends, counts, strict=True)):
-                        want = part.column("key")[first + i].as_py()
-                        if n and xxhash.xxh3_128_digest(texts[first + i]) == want:
-                            keys.append(want)
+                        if n:
+                            keys.append(xxhash.xxh3_128_digest(texts[first + i]))
                             vecs.append(h[e - n : e].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["key", "vec"])
 
-    return df.select("key", text).mapInArrow(run, "key binary, vec binary").dropDuplicates(["key"])
+    return texts.select(F.xxhash64("_id").alias("h"), "_text").mapInArrow(run, "key binary, vec binary")
 
 
 #: SQL for the samples that two nodes share.
@@ -330,14 +331,15 @@ class _Search:
         self.vectors: list[DataFrame] = []
 
     def fetch(self, wanted: DataFrame) -> None:
-        """Shingles of the nodes (key), besides those known already; a filter on ids keeps most texts from being shuffled."""
+        """Shingles of the nodes (key), besides those known already; a filter on ids keeps most texts from giving any."""
         for known in self.vectors:
             wanted = wanted.join(known.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_anti")
         keys = wanted.select(F.col("key").alias("_w"))
         need = self.scratch.write(self.nodes.join(keys, F.col("key") == F.col("_w"), "left_semi").select("key", "rep"))
         if not need.isEmpty():
-            met = _maybe(self.texts, "_id", need, "rep").join(need, F.col("_id").eqNullSafe(F.col("rep"))).select("key", "_text")
-            self.vectors.append(self.scratch.write(_vectors(met, "_text")))
+            held = self.scratch.spark.sparkContext.broadcast(_filter_of(need.select(F.xxhash64("rep").alias("v"))))
+            met = _vectors(self.texts, held).join(need.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi")
+            self.vectors.append(self.scratch.write(met.dropDuplicates(["key"])))
         self.scratch.drop(need)
         release(self.scratch.spark)
 
@@ -500,17 +502,6 @@ def _filter_of(values: DataFrame) -> np.ndarray:
     return table
 
 
-def _maybe(texts: DataFrame, id_col: str, wanted: DataFrame, key: str) -> DataFrame:
-    """The rows of texts whose id may be among the wanted ones, so that the join after it shuffles few texts."""
-    shared = texts.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.xxhash64(key).alias("v"))))
-
-    @F.pandas_udf("boolean")
-    def may(v: pd.Series) -> pd.Series:
-        return pd.Series(_holds(shared.value, mix64(v.to_numpy().view(np.uint64))))
-
-    return texts.filter(may(F.xxhash64(id_col)))
-
-
 def _searched(members: DataFrame, vectors: DataFrame, idf, threshold: float, scratch: Scratch) -> DataFrame:
     """(a, b): all links between nodes of different components in each bucket of (bucket, key, c, total, n_bytes), one pair of blocks at a time."""
     write = scratch.write

@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -33,6 +32,8 @@ from weftgraph.runtime import Scratch, number_rows, ship_package
 WEIGHTS, PASSES, BLOCK, SHARDS, SEED = (5, 2, 1), 3, 64, 8, 20240301
 #: Sources whose shard counts are summed up in one task; their sums are summed in the next.
 RANKS = 1024
+#: Rows planned together, and characters of one output batch; a longer text is handled alone.
+PART, BYTES_OUT = 256, 1 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 PIECE = "struct<from:bigint,words:bigint,at:bigint,shard:int,slot:bigint>"
 
@@ -125,13 +126,18 @@ def _sources(per: DataFrame, block: int, shards: int, seed: int, scratch: Scratc
         full, left, free = got["k"], int(first["n"]) - PASSES * int(got["n"]), int(first["w"]) - int(got["w"])
     goal = F.when(over(), PASSES * F.col("size").cast("double")).otherwise(F.lit(float(left)) * F.col("w") / F.lit(float(free))) if free else PASSES * F.col("size").cast("double")
 
-    @F.pandas_udf("struct<blocks:bigint,slots:bigint,drawn:array<bigint>>")
-    def planned(rank: pd.Series, size: pd.Series, target: pd.Series) -> pd.DataFrame:
-        counts = [slot_count(t, int(n), block) for t, n in zip(target, size, strict=True)]
-        return pd.DataFrame({"blocks": [b for b, _ in counts], "slots": [s for _, s in counts], "drawn": [shard_draw(s, int(r), shards, seed) for r, (_, s) in zip(rank, counts, strict=True)]})
-
-    table = ranked.withColumn("target", goal).withColumn("p", planned("rank", "size", "target"))
-    table = scratch.write(table.select("_g", "rank", "size", "target", "p.blocks", "p.slots", "p.drawn", F.floor(F.col("rank") / RANKS).alias("part")))
+    @tidy
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank, size, target = (batch.column(c).to_pylist() for c in ("rank", "size", "target"))
+            counts = [slot_count(t, n, block) for t, n in zip(target, size, strict=True)]
+            drawn = [shard_draw(s, r, shards, seed) for r, (_, s) in zip(rank, counts, strict=True)]
+            more = [pa.array([b for b, _ in counts], pa.int64()), pa.array([s for _, s in counts], pa.int64()), pa.array(drawn, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_g", "rank", "size", "target")), *more], names=[f.name for f in schema.fields])
+
+    table = ranked.select("_g", F.col("rank").cast("long").alias("rank"), F.col("size").cast("long").alias("size"), goal.alias("target"))
+    schema = T.StructType([*table.schema.fields, *T.StructType.fromDDL("blocks long, slots long, drawn array<long>").fields])
+    table = scratch.write(table.mapInArrow(planned, schema).withColumn("part", F.floor(F.col("rank") / RANKS)))
     cells = table.select("rank", "part", F.posexplode("drawn").alias("shard", "c"))
     sums = cells.groupBy("shard", "part").agg(F.sum("c").alias("c"))
     totals = {r["shard"]: r["n"] for r in sums.groupBy("shard").agg(F.sum("c").alias("n")).collect()}  # a row for each shard
@@ -183,8 +189,11 @@ def drawn_pieces(off: np.ndarray, n: np.ndarray, rank: np.ndarray, plan: dict[in
     return {"row": got["row"], "from": at - off[got["row"]], "words": stop - at, "at": at, "shard": got["shard"], "slot": got["slot"]}
 
 
-def _planned(df: DataFrame, source: Column, size: Column, order: list[Column], block: int, shards: int, seed: int) -> DataFrame:
-    """(row, size, source_size, target, taken, pieces) of every row."""
+ITEM = pa.struct([("from", pa.int64()), ("words", pa.int64()), ("at", pa.int64()), ("shard", pa.int32()), ("slot", pa.int64())])
+
+
+def _planned(df: DataFrame, source: Column, size: Column, order: list[Column], block: int, shards: int, seed: int, fields: list[T.StructField] | None = None, make=None) -> DataFrame:
+    """(row, size, source_size, target, taken, pieces) of every row; or, in the same pass, what `make` yields of a part and its pieces as RecordBatches of the given fields."""
     spark = df.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "mix")
@@ -195,8 +204,8 @@ def _planned(df: DataFrame, source: Column, size: Column, order: list[Column], b
     bases = sums.select(F.col("_pid").alias("_bp"), F.col("_g").alias("_bg"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     bases = scratch.write(bases.join(table, F.col("_bg").eqNullSafe(F.col("_g"))).drop("_g"))
     met = rows.join(bases, (F.col("_pid") == F.col("_bp")) & F.col("_g").eqNullSafe(F.col("_bg"))).select("row", "_n", (F.col("base") + F.col("_local")).alias("_off"), "rank", "size", "target", "blocks", "slots", "cum", "start")
-    schema = T.StructType([met.schema["row"], *T.StructType.fromDDL(f"size long, source_size long, target double, taken long, pieces array<{PIECE}>").fields])
-    item = pa.struct([("from", pa.int64()), ("words", pa.int64()), ("at", pa.int64()), ("shard", pa.int32()), ("slot", pa.int64())])
+    own = [met.schema["row"], *T.StructType.fromDDL(f"size long, source_size long, target double, taken long, pieces array<{PIECE}>").fields]
+    schema = T.StructType(fields or own)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,12 +218,15 @@ def _planned(df: DataFrame, source: Column, size: Column, order: list[Column], b
             for r, i in zip(distinct.tolist(), first.tolist(), strict=True):
                 if r not in plan:
                     plan[r] = (batch.column("blocks")[i].as_py(), batch.column("slots")[i].as_py(), np.array(batch.column("cum")[i].as_py()), np.array(batch.column("start")[i].as_py()))
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
+            for lo in range(0, batch.num_rows, PART):
+                part = batch.slice(lo, PART)
                 n = part.column("_n").to_numpy()
                 got = drawn_pieces(part.column("_off").to_numpy(), n, part.column("rank").to_numpy(), plan, totals, block, seed)
+                if make is not None:
+                    yield from make(part, got)
+                    continue
                 ends = np.searchsorted(got["row"], np.arange(len(n) + 1)).astype(np.int32)
-                values = pa.StructArray.from_arrays([pa.array(got[f.name].astype(np.int32 if f.name == "shard" else np.int64)) for f in item], fields=list(item))
+                values = pa.StructArray.from_arrays([pa.array(got[f.name].astype(np.int32 if f.name == "shard" else np.int64)) for f in ITEM], fields=list(ITEM))
                 taken = np.bincount(got["row"], got["words"], len(n)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("_n"), part.column("size"), part.column("target"), pa.array(taken), pa.ListArray.from_arrays(pa.array(ends), values)], names=[f.name for f in schema.fields])
 
@@ -235,11 +247,11 @@ def mix_plan(df: DataFrame, source: str = "source", size: str = "size", order: t
     return done.select(*(F.col(f"row.`{c}`") for c in df.columns), "source_size", "target", "taken", "pieces")
 
 
-def _of_texts(docs: DataFrame, id_col: str, text: str, source: str, seed: int, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
-    """(row, pieces) of the rows of which something is taken."""
+def _of_texts(docs: DataFrame, id_col: str, text: str, source: str, block: int, shards: int, seed: int, fields: list[T.StructField], make) -> DataFrame:
+    """What `make` yields of the rows of documents and their pieces."""
     t = F.col(f"`{text}`")
     order = [F.col(f"`{id_col}`"), F.crc32(F.coalesce(t, F.lit("")).cast("binary"))]
-    return _planned(docs, F.col(f"`{source}`"), word_count(t), order, block, shards, seed).filter(F.size("pieces") > 0)
+    return _planned(docs, F.col(f"`{source}`"), word_count(t), order, block, shards, seed, fields, make)
 
 
 def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
@@ -249,37 +261,36 @@ def mix_texts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     and runs are joined by one space. Documents without words, or of which nothing is taken, give no row.
     All columns stay, whatever their names; the text changes.
     """
-    met = _of_texts(docs, id_col, text, source, seed)
     words = regex.compile(WORD)
-    fields = docs.columns
-    at_text = fields.index(text)
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                part = whole.slice(at, 64)
-                columns = part.column("row").flatten()
-                take, texts_out = [], []
-                for i, (t, pieces) in enumerate(zip(columns[at_text].to_pylist(), part.column("pieces"), strict=True)):
-                    first, count = (c.to_numpy() for c in pieces.values.flatten()[:2])
-                    new, at_first, draws = np.unique(first, return_index=True, return_counts=True)
-                    lengths = count[at_first]
-                    places = [m.span() for m in words.finditer(t)]
-                    for k in range(1, int(draws.max()) + 1):
-                        runs: list[list[int]] = []
-                        for a, n in zip(new[draws >= k].tolist(), lengths[draws >= k].tolist(), strict=True):
-                            if runs and runs[-1][1] == a:
-                                runs[-1][1] += n
-                            else:
-                                runs.append([a, a + n])
-                        take.append(i)
-                        texts_out.append(t if runs == [[0, len(places)]] else " ".join(t[places[a][0] : places[b - 1][1]] for a, b in runs))
+    names = docs.columns
+    at_text = names.index(text)
+
+    def copies(part: pa.RecordBatch, got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns = part.column("row").flatten()
+        edges = np.append(np.flatnonzero(np.diff(got["row"], prepend=-1)), len(got["row"])).tolist()
+        take, texts_out, size = [], [], 0
+        for a, b in zip(edges, edges[1:], strict=False):
+            i = int(got["row"][a])
+            t = columns[at_text][i].as_py()
+            first, at_first, draws = np.unique(got["from"][a:b], return_index=True, return_counts=True)
+            lengths = got["words"][a:b][at_first]
+            places = [m.span() for m in words.finditer(t)]
+            for k in range(1, int(draws.max()) + 1):
+                runs: list[list[int]] = []
+                for s, n in zip(first[draws >= k].tolist(), lengths[draws >= k].tolist(), strict=True):
+                    if runs and runs[-1][1] == s:
+                        runs[-1][1] += n
+                    else:
+                        runs.append([s, s + n])
+                take.append(i)
+                texts_out.append(t if runs == [[0, len(places)]] else " ".join(t[places[s][0] : places[e - 1][1]] for s, e in runs))
+                size += len(texts_out[-1])
+            if size > BYTES_OUT or b == edges[-1]:
                 rows = pa.array(take, pa.int64())
-                cols = [pa.array(texts_out, pa.string()) if k == at_text else c.take(rows) for k, c in enumerate(columns)]
-                yield pa.RecordBatch.from_arrays(cols, names=fields)
+                yield pa.RecordBatch.from_arrays([pa.array(texts_out, pa.string()) if k == at_text else c.take(rows) for k, c in enumerate(columns)], names=names)
+                take, texts_out, size = [], [], 0
 
-    return met.mapInArrow(run, docs.schema)
+    return _of_texts(docs, id_col, text, source, BLOCK, SHARDS, seed, docs.schema.fields, copies)
 
 
 def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -288,21 +299,23 @@ def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sour
     What documents hold of a block comes together by its shard and slot. The slots of a shard are gapless from 0. A block has
     `block` words, the last one of a source fewer. Null and empty texts have no words; an empty table gives no rows.
     """
-    met = _of_texts(docs, id_col, text, source, seed, block, shards).select(F.col(f"row.`{text}`").alias("text"), F.col(f"row.`{source}`").alias("source"), "pieces")
     words = regex.compile(WORD)
-    schema = T.StructType([*T.StructType.fromDDL("shard int, slot long").fields, met.schema["source"], *T.StructType.fromDDL("at long, n long, part string").fields])
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                spelled = words.findall(batch.column("text")[i].as_py())
-                first, count, at, shard, slot = batch.column("pieces")[i].values.flatten()
-                parts = [" ".join(spelled[a : a + n]) for a, n in zip(first.to_pylist(), count.to_pylist(), strict=True)]
-                g = batch.column("source").take(pa.array(np.full(len(parts), i)))
-                yield pa.RecordBatch.from_arrays([shard, slot, g, at, count, pa.array(parts, pa.string())], names=[f.name for f in schema.fields])
-
-    pieces = met.mapInArrow(run, schema)
+    names = docs.columns
+    at_text, at_source = names.index(text), names.index(source)
+    kind = T.StructField("source", docs.schema[source].dataType)
+    fields = [*T.StructType.fromDDL("shard int, slot long").fields, kind, *T.StructType.fromDDL("at long, n long, part string").fields]
+
+    def parts_of(part: pa.RecordBatch, got: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns = part.column("row").flatten()
+        edges = np.append(np.flatnonzero(np.diff(got["row"], prepend=-1)), len(got["row"])).tolist()
+        for a, b in zip(edges, edges[1:], strict=False):
+            i = int(got["row"][a])
+            spelled = words.findall(columns[at_text][i].as_py())
+            texts = [" ".join(spelled[s : s + n]) for s, n in zip(got["from"][a:b].tolist(), got["words"][a:b].tolist(), strict=True)]
+            cols = [pa.array(got["shard"][a:b].astype(np.int32)), pa.array(got["slot"][a:b]), columns[at_source].take(pa.array(np.full(b - a, i))), pa.array(got["at"][a:b]), pa.array(got["words"][a:b]), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
+
+    pieces = _of_texts(docs, id_col, text, source, block, shards, seed, fields, parts_of)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), " ")  # a piece has a word at least
     return pieces.groupBy("shard", "slot").agg(F.min("source").alias("source"), F.expr(f"min(at) div {block}").alias("block"), F.sum("n").alias("n_words"), joined.alias("text"))
 

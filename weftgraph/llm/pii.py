@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import gbdt
-from weftgraph.runtime import fresh
 
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
 #: kind -> Java pattern equal to the base definition (see op2_pii_boosting).
@@ -45,8 +44,18 @@ GENERATORS = {
     "long_token": ("secret", r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,199}[0-9])(?=[0-9_+/=-]{0,199}[A-Za-z])[A-Za-z0-9_+/=-]{20,200}+(?![A-Za-z0-9_+/=-])"),
     "named_secret": ("secret", r"(?<=(?i:password|passwd|pwd|secret|token|key)[\"']?[ ]?[:=][ ]?[\"']?)(?<![A-Za-z0-9_+/=!@#$%^&*.-])[A-Za-z0-9_+/=!@#$%^&*.-]{6,200}+(?![A-Za-z0-9_+/=!@#$%^&*-])"),
 }
-#: One cheap pattern that every generator's matches contain, with the characters before them.
-ANY = r"[\[(](?:at|AT)[\])]|[0-9]{3}[ ).-]|00[1-9]|[A-Z]{2}[0-9]{2}|[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]|(?i:password|passwd|pwd|secret|token|key)[\"']?[ ]?[:=]|[A-Za-z0-9_+/=-]{20}"
+#: generator -> what every text with a match has, as a cheap SQL test of `{t}`; all but these need a digit.
+BARE = ("spelled_email", "named_secret")
+CHEAP = {
+    "spelled_email": "(contains({t}, '(at)') OR contains({t}, '[at]') OR contains({t}, '(AT)') OR contains({t}, '[AT]'))",
+    "national_phone": "rlike({t}, r'[0-9]{{3}}[ ).-]{{1,2}}[0-9]{{3}}[ .-][0-9]{{4}}')",
+    "double_zero_phone": "contains({t}, '00')",
+    "grouped_id": "rlike({t}, r'[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}')",
+    "iban": "rlike({t}, r'[A-Z]{{2}}[0-9]{{2}}')",
+    "short_card": "rlike({t}, r'[0-9](?:[ -]?[0-9]){{12}}')",
+    "long_token": "rlike({t}, r'(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{{20}}')",
+    "named_secret": "((contains({t}, '=') OR contains({t}, ':')) AND rlike({t}, r'(?i:password|passwd|pwd|secret|token|key)[\"\\x27]?[ ]?[:=]'))",
+}
 CUES = {
     "email": "(?i)mail|contact|write",
     "phone": "(?i)phone|tel|call|mobile|fax",
@@ -122,13 +131,13 @@ def _kind_rank(kind: str) -> int:
     return KINDS.index(kind)
 
 
-def base_spans_sql(text: str) -> str:
-    """array<struct<start,rank,end>> of all base spans, in order of start and kind."""
+def base_spans_sql(text: str, digit: str) -> str:
+    """array<struct<start,rank,end>> of all base spans, in order of start and kind; digit: whether the text has one."""
     parts = []
     for kind, pattern in BASE.items():
-        has = f"contains({text}, '{NEEDS[kind]}')" if NEEDS[kind] else f"rlike({text}, {_q('[0-9](?:[ -]?[0-9]){13}')})"
+        has = f"contains({text}, '{NEEDS[kind]}')" if NEEDS[kind] else f"{digit} AND rlike({text}, {_q('[0-9](?:[ -]?[0-9]){13}')})"
         if kind == "ip":
-            has = f"rlike({text}, {_q('[0-9][.][0-9]++[.][0-9]')})"
+            has = f"{digit} AND rlike({text}, {_q('[0-9][.][0-9]++[.][0-9]')})"
         spans = f"transform(filter({_spans_sql(text, pattern)}, x -> {VALID[kind]}), x -> struct(x.start AS start, {_kind_rank(kind)} AS rank, x.end AS end))"
         parts.append(f"CASE WHEN {has} THEN {spans} ELSE cast(array() AS array<struct<start:int,rank:int,end:int>>) END")
     return f"array_sort(concat({', '.join(parts)}))"
@@ -243,7 +252,7 @@ def model(seed: int = 7, n: int = 4000) -> tuple[gbdt.Trees, dict[str, float]]:
     return trees, out
 
 
-def _all_spans_sql(text: str, base: str) -> str:
+def _all_spans_sql(text: str, base: str, digit: str) -> str:
     """array<struct<start,rank,end>>: the base spans and the accepted candidates that touch no base span nor a better candidate.
 
     A scan by start holds the end of the base spans so far and one open candidate. Of two candidates that overlap the better one stays: the
@@ -251,14 +260,16 @@ def _all_spans_sql(text: str, base: str) -> str:
     """
     trees, least = model()
     parts = []
-    for g, (kind, pattern) in enumerate(GENERATORS.values()):
+    item = "struct<start:int,rank:int,end:int,extra:boolean,score:double>"
+    for g, (name, (kind, pattern)) in enumerate(GENERATORS.items()):
         before = f"substring({text}, greatest(1, x.start + 1 - {BEFORE}), least(x.start, {BEFORE}))"
         scored = f"transform({_spans_sql(text, pattern)}, x -> struct(x.start AS start, x.end AS end, {features_sql(g, 'x.match', before)} AS f))"
         score = trees.sql_margin([f"y.f.{n}" for n in FEATURES])
         made = f"transform({scored}, y -> struct(y.start AS start, {_kind_rank(kind)} AS rank, y.end AS end, true AS extra, {score} AS score))"
-        parts.append(f"filter({made}, z -> z.score >= {least[kind]!r}D)" if np.isfinite(least[kind]) else "")
+        may = CHEAP[name].format(t=text) if name in BARE else f"{digit} AND {CHEAP[name].format(t=text)}"
+        if np.isfinite(least[kind]):
+            parts.append(f"CASE WHEN {may} THEN filter({made}, z -> z.score >= {least[kind]!r}D) ELSE cast(array() AS array<{item}>) END")
     own = f"transform({base}, x -> struct(x.start AS start, x.rank AS rank, x.end AS end, false AS extra, 0D AS score))"
-    items = f"array_sort(concat({', '.join([own, *filter(None, parts)])}))"
     plain = lambda v: f"struct({v}.start AS start, {v}.rank AS rank, {v}.end AS end)"
     none = "cast(array() AS array<struct<start:int,rank:int,end:int>>)"
     state = lambda reach, has, v: f"struct({reach} AS reach, {has} AS has, {v} AS p)"
@@ -271,8 +282,8 @@ def _all_spans_sql(text: str, base: str) -> str:
         f"ELSE struct({state('s.reach', 'true', 'x')} AS s, {opened} AS out) END"
     )
     first = state("0", "false", "struct(0 AS start, 0 AS rank, 0 AS end, true AS extra, 0D AS score)")
-    scanned = _scan_sql(items, "struct<start:int,rank:int,end:int>", first, step, opened)
-    return f"CASE WHEN rlike({text}, {_q(ANY)}) THEN array_sort({scanned}) ELSE {base} END"
+    scanned = _scan_sql(f"array_sort(concat({own}, more))", "struct<start:int,rank:int,end:int>", first, step, opened)
+    return _let("more", f"concat({', '.join(parts)})", f"CASE WHEN size(more) = 0 THEN {base} ELSE array_sort({scanned}) END")
 
 
 def pii_spans(df: DataFrame, text: str = "text") -> DataFrame:
@@ -282,10 +293,11 @@ def pii_spans(df: DataFrame, text: str = "text") -> DataFrame:
     these names are replaced; all others stay.
     """
     df = df.drop("base_spans", "spans")
-    row, held, base, every = fresh([], "_row", "_text", "_base", "_all")  # the given columns lie in a struct beside them
+    row, held, digit, base, every = "_row", "_text", "_digit", "_base", "_all"  # the given columns lie in a struct beside them
     staged = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(row), F.coalesce(F.col(text), F.lit("")).alias(held))
-    staged = staged.withColumn(base, F.expr(base_spans_sql(held)))
-    staged = staged.withColumn(every, F.expr(_all_spans_sql(held, base)))
+    staged = staged.withColumn(digit, F.rlike(held, F.lit("[0-9]")))
+    staged = staged.withColumn(base, F.expr(base_spans_sql(held, digit)))
+    staged = staged.withColumn(every, F.expr(_all_spans_sql(held, base, digit)))
     names = f"array({', '.join(repr(k) for k in KINDS)})"
     show = lambda a: F.expr(f"transform({a}, s -> struct({names}[s.rank] AS kind, s.start AS start, s.end AS end))")
     return staged.select(*(F.col(f"{row}.`{c}`") for c in df.columns), show(base).alias("base_spans"), show(every).alias("spans"))
