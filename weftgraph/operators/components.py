@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.runtime import Scratch, cut, release
+from weftgraph.runtime import Scratch, release, rows, seen
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,27 +23,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def star_components(edges: DataFrame, src: Column | str = "src", dst: Column | str = "dst", scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node on an edge between two different nodes; component is the least node.
 
-    Edges are undirected; null ends, self-loops and repeats are ignored. Each step is written to the shared folder (a reliable
-    checkpoint, or a table of `scratch`, of which only the last one is left); the number of steps grows with the logarithm of the longest path. Only
-    the edge count and a digest per step reach the driver.
+    Edges are undirected; null ends, self-loops and repeats are ignored. Each step is a table of `scratch` in the shared folder, of which only the
+    last one is left; the number of steps grows with the logarithm of the longest path. Only the edge count and a digest per step reach the driver.
     """
-    write = scratch.write if scratch else cut
+    own = scratch or Scratch(edges.sparkSession, "components")
+    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     s, d = (F.col(c) if isinstance(c, str) else c for c in (src, dst))
     e = edges.select(s.alias("a"), d.alias("b")).filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    e = write(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = own.write(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), digest=digest)
     last = None
-    while True:
-        sign = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (sign["n"], sign["s"]) == last or not sign["n"]:
-            break
-        last = (sign["n"], sign["s"])
-        old, e = e, write(_star(_star(e, large=True), large=False))
-        if scratch:
-            scratch.drop(old)
+    while rows(e) and (rows(e), seen(e, "digest")) != last:
+        last = (rows(e), seen(e, "digest"))
+        old, e = e, own.write(_star(_star(e, large=True), large=False), digest=digest)
+        own.drop(old)
         release(e.sparkSession)
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-    if not scratch:
-        return out
-    done = write(out)
-    scratch.drop(e)
+    done = own.write(out)
+    own.drop(e)
     return done

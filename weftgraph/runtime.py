@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -94,13 +94,13 @@ class Scratch:
         self._n = 0
         _delete_at_exit(spark, self.root)
 
-    def write(self, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def write(self, df: DataFrame, **sums: Column) -> DataFrame:
+        """The rows, written and reread. The same job counts them (rows()) and computes further aggregates (seen())."""
         self._n += 1
-        path = f"{self.root}/t{self._n}"
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+        path, seen = f"{self.root}/t{self._n}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *(v.alias(k) for k, v in sums.items())).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._weft_path = path
+        out._weft_path, out._weft_seen = path, seen.get
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -121,6 +121,16 @@ class Scratch:
                 fs.delete(p, True)
 
 
+def rows(table: DataFrame) -> int:
+    """Rows of a scratch table."""
+    return table._weft_seen["n_rows"]
+
+
+def seen(table: DataFrame, name: str):
+    """An aggregate that was computed as a scratch table was written."""
+    return table._weft_seen[name]
+
+
 def release(spark: SparkSession) -> None:
     """Let the cluster delete shuffle files that no live frame needs (and checkpoints, see cut()); they go with their driver-side handles."""
     gc.collect()
