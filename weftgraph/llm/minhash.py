@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from weftgraph.llm.tasks import tidy
 from weftgraph.llm.words import Words, canonical, chunks, mix64
 from weftgraph.operators.components import star_components
-from weftgraph.runtime import Scratch, fresh, release, ship_package
+from weftgraph.runtime import Scratch, fresh, release, rows, ship_package
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -149,7 +149,7 @@ def _of_vectors(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield 1, np.unique(np.frombuffer(v.as_buffer(), dtype=np.uint32))
 
 
-def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
+def _count_table(texts: DataFrame, different) -> tuple[np.ndarray, int]:
     """Texts by shingle hash over all rows of one column, and the number of texts; the result's size is fixed.
 
     A partition hands on its counters other than zero, so what is shuffled follows the data where that is less than the table.
@@ -190,7 +190,7 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["slice", "counts"])
 
     kind = "slice int, counts binary"
-    found = rows.mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
+    found = texts.mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
     table, docs = np.zeros(size, dtype=np.int64), 0
     for r in found:
         v = np.frombuffer(r["counts"], dtype=np.int64)
@@ -198,7 +198,7 @@ def _count_table(rows: DataFrame, different) -> tuple[np.ndarray, int]:
             docs += int(v[0])
         else:
             table[r["slice"] * width : (r["slice"] + 1) * width] += v
-    release(rows.sparkSession)
+    release(texts.sparkSession)
     return table, docs
 
 
@@ -336,8 +336,8 @@ class _Search:
             wanted = wanted.join(known.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_anti")
         keys = wanted.select(F.col("key").alias("_w"))
         need = self.scratch.write(self.nodes.join(keys, F.col("key") == F.col("_w"), "left_semi").select("key", "rep"))
-        if not need.isEmpty():
-            held = self.scratch.spark.sparkContext.broadcast(_filter_of(need.select(F.xxhash64("rep").alias("v"))))
+        if rows(need):
+            held = self.scratch.spark.sparkContext.broadcast(_filter_of(need.select(F.xxhash64("rep").alias("v")), rows(need)))
             met = _vectors(self.texts, held).join(need.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi")
             self.vectors.append(self.scratch.write(met.dropDuplicates(["key"])))
         self.scratch.drop(need)
@@ -361,14 +361,14 @@ class _Search:
     def verify(self, pairs: DataFrame) -> None:
         """Link those of the candidate pairs (a, b, agree) that reach the threshold: each node's best first, then what is still apart."""
         pairs = self.scratch.write(pairs)
-        if not pairs.isEmpty():
+        if rows(pairs):
             self.fetch(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
             best = self.scratch.write(pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("p")).select("a", F.col("p.b").alias("b")))
             self.add(_verified(best, self.known(), self.idf, self.threshold))
             done = best.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
             rest = pairs.select("a", "b").join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
             rest = self.scratch.write(_labelled(_labelled(rest, self.comps, "a", "_ca"), self.comps, "b", "_cb").filter("_ca <> _cb").drop("_ca", "_cb"))
-            if not rest.isEmpty():
+            if rows(rest):
                 self.add(_verified(rest, self.known(), self.idf, self.threshold))
             self.scratch.drop(best, rest)
         self.scratch.drop(pairs)
@@ -385,7 +385,7 @@ class _Search:
         main = hot.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "c").first()["c"]
         is_main = F.col("c") == F.lit(bytes(main))
         outer = write(_prefixes(own.filter(~is_main), rank, self.idf, self.threshold))
-        wanted = spark.sparkContext.broadcast(_filter_of(outer.select(F.col("bucket").alias("v")).distinct()))
+        wanted = spark.sparkContext.broadcast(_filter_of(outer.select(F.col("bucket").alias("v")), rows(outer)))
         inner = write(_prefixes(own.filter(is_main), rank, self.idf, self.threshold, wanted))
         members = write(_with_signs(outer.union(inner), hot, self.nodes))
         self.scratch.drop(outer, inner)
@@ -394,7 +394,7 @@ class _Search:
         self.verify(pairs)
         rest = write(_mixed(_labelled(left.drop("c", "sig"), self.comps, "key", "c")))
         self.scratch.drop(members, left)
-        if not rest.isEmpty():
+        if rows(rest):
             self.add(_searched(rest, own.select("key", "vec"), self.idf, self.threshold, self.scratch))
         self.scratch.drop(rest, own, hot)
         release(spark)
@@ -436,7 +436,7 @@ def _classes(texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     search.verify(pairs)
     mixed = scratch.write(_mixed(_labelled(large.select("bucket", "key"), search.comps, "key", "c")))
     scratch.drop(members, large)
-    if not mixed.isEmpty():
+    if rows(mixed):
         search.settle(mixed)
     scratch.drop(mixed)
     if not search.links:
@@ -476,9 +476,9 @@ def _holds(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[p >> 3] >> (7 - (p & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _filter_of(values: DataFrame) -> np.ndarray:
-    """A packed filter of the longs in column v: FILTER_BITS bits for each, FILTER_MOST at most; a full filter holds every value."""
-    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * values.count() - 1).bit_length()))
+def _filter_of(values: DataFrame, count: int) -> np.ndarray:
+    """A packed filter of the longs in column v, `count` at most: FILTER_BITS bits for each, FILTER_MOST at most; a full filter holds every value."""
+    bits = min(FILTER_MOST, 1 << max(16, (FILTER_BITS * count - 1).bit_length()))
     width = bits // SLICES
 
     @tidy
