@@ -5,10 +5,10 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from weftgraph import catalog
+from weftgraph import catalog, catalog_links  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("supplier", "customer", "part", "orders", "lineitem")
+TABLES = ("supplier", "customer", "part", "orders", "lineitem", "conversations")
 
 
 @pytest.fixture(scope="module")
@@ -26,4 +26,5 @@ def test_equals_sql(spark, duck, name):
     got = catalog.QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     rows = [tuple(r) for r in got.select(*(f"`{c}`" for c in columns)).collect()]
-    assert sorted(rows, key=repr) == sorted(want.fetchall(), key=repr)
+    wanted = want.fetchall()
+    assert sorted(rows, key=repr) == sorted(wanted, key=repr)

@@ -1,4 +1,4 @@
-"""The registered queries over the whole graph against brute force; their narrower namesakes are in test_catalog."""
+"""The registered queries over the whole graph against brute force, besides their SQL in test_catalog."""
 
 from __future__ import annotations
 
@@ -37,13 +37,13 @@ def test_paths_back_from_every_symbol(spark):
     g = project(spark, SF)
     ids = [r.id for r in g.symbols.select("id").collect()]
     want = brute_paths([(r.dst, r.src) for r in g.callees().collect()], ids, 10)
-    got = sorted((r.entry, r.path, r.is_cyclic) for r in catalog.QUERIES["flow_backward_all"](spark, SF).collect())
+    got = sorted((r.entry, r.path, r.is_cyclic) for r in catalog.QUERIES["flow_backward"](spark, SF).collect())
     assert got == want and {e[0] for e, _, _ in got} == set("SPCI") and max(p.count(">") for _, p, _ in got) == 9
 
 
 def test_callers_of_all_kinds_of_targets(spark):
     want = sorted((r.dst, r.src) for r in project(spark, SF).calls().select("src", "dst").collect())
-    got = sorted((r.dst, r.src) for r in catalog.QUERIES["callers_all"](spark, SF).collect())
+    got = sorted((r.dst, r.src) for r in catalog.QUERIES["callers"](spark, SF).collect())
     assert got == want and {d[0] for d, _ in got} == set("SPCI")
 
 
@@ -56,11 +56,11 @@ def talks(spark):
 
 def test_flows_to_the_real_end(spark):
     want = sorted((f"T{c}_1", ">".join(f"T{c}_{k}" for k in range(2, len(t) + 1)), False) for c, t in talks(spark).items() if len(t) > 1)
-    got = sorted((r.entry, r.path, r.is_cyclic) for r in catalog.QUERIES["flow_forward_all"](spark, SF).collect())
+    got = sorted((r.entry, r.path, r.is_cyclic) for r in catalog.QUERIES["flow_forward"](spark, SF).collect())
     assert got == want and max(p.count(">") for _, p, _ in got) >= 4  # deeper than flow_forward goes
     name = lambda c, t: f"talk/c{c}.py::{t[1]}_{t[0]}"
     want = sorted((name(c, t[0]), name(c, t[-1]), ">".join(name(c, x) for x in t[1:]), 1) for c, t in talks(spark).items() if len(t) > 1)
-    got = sorted((r.entry, r.exit, r.steps, r.n) for r in catalog.QUERIES["flow_dedup_all"](spark, SF).collect())
+    got = sorted((r.entry, r.exit, r.steps, r.n) for r in catalog.QUERIES["flow_dedup"](spark, SF).collect())
     assert got == want
 
 
@@ -88,6 +88,8 @@ def test_reports_count_every_detector(spark):
 
 
 def test_severities_count_every_detector(spark):
-    n = catalog.QUERIES["severity_counts_all"](spark, SF).first()
-    some = catalog.QUERIES["severity_counts"](spark, SF).first()
-    assert n.warning > some.warning and n.info >= some.info and n.critical >= some.critical
+    n = catalog.QUERIES["severity_counts"](spark, SF).first()
+    rows = catalog.QUERIES["diagnostics"](spark, SF).collect()
+    by = Counter(r.severity for r in rows)
+    assert (n.critical, n.warning, n.info, n.has_critical, n.has_findings) == (by["critical"], by["warning"], by["info"], by["critical"] > 0, True)
+    assert [(r.id, r.pattern, r.entity) for r in catalog.QUERIES["top_issues"](spark, SF).collect()] == sorted((r.id, r.pattern, r.entity) for r in rows)[:5]

@@ -51,12 +51,7 @@ def _(g):
     return g.callees()
 
 
-@query("callers", "SELECT dst, src FROM edge WHERE edge_kind = 'Calls' AND dst LIKE 'S%'")
-def _(g):
-    return g.callers().filter(F.col("dst").startswith("S"))
-
-
-@query("callers_all", "SELECT dst, src FROM edge WHERE edge_kind = 'Calls'")
+@query("callers", "SELECT dst, src FROM edge WHERE edge_kind = 'Calls'")
 def _(g):
     return g.callers()
 
@@ -203,11 +198,6 @@ def _(g):
     return d.file_cycles(g).select(F.array_join("cycle", " > ").alias("cycle"), F.size("cycle").alias("length"))
 
 
-@query("isolated_clusters")
-def _(g):
-    return _finding(d.isolated_cluster(g))
-
-
 ALL_FOUND = f""", found AS (
   SELECT 'data_dead_end' AS pattern, 'warning' AS severity, CASE visibility WHEN 'Private' THEN 'high' ELSE 'low' END AS confidence, file, line, qualified_name AS entity FROM ex WHERE kind = 'Function' AND {UNUSED}
   UNION ALL SELECT 'orphaned_impl', 'warning', CASE visibility WHEN 'Private' THEN 'high' ELSE 'moderate' END, file, line, qualified_name FROM ex WHERE kind = 'Method' AND {UNUSED}
@@ -215,27 +205,23 @@ ALL_FOUND = f""", found AS (
   UNION ALL SELECT 'stale_reference', 'warning', 'high', file, line, name FROM ex WHERE is_import AND resolution = 'Partial')"""
 
 
-def _some(g):
-    return d.dead_end(g).unionByName(d.orphaned_impl(g)).unionByName(d.phantom_dependency(g)).unionByName(d.stale_reference(g))
-
-
-@query("severity_counts", ALL_FOUND + " SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, bool_or(severity = 'critical') AS has_critical, count(*) > 0 AS has_findings FROM found")
+@query("severity_counts")
 def _(g):
     from weftgraph.operators.summary import severity_counts
 
-    return severity_counts(_some(g))
+    return severity_counts(d.diagnostics(g))
 
 
 @query("filtered_findings", ALL_FOUND + " SELECT pattern, entity, confidence FROM found WHERE severity <> 'info' AND confidence <> 'low' AND pattern IN ('data_dead_end', 'stale_reference')")
 def _(g):
-    return d.at_least(_some(g), "warning", "moderate", ["data_dead_end", "stale_reference", ""]).select("pattern", "entity", "confidence")
+    return d.at_least(d.diagnostics(g), "warning", "moderate", ["data_dead_end", "stale_reference", ""]).select("pattern", "entity", "confidence")
 
 
-@query("top_issues", ALL_FOUND + """ SELECT id, pattern, entity FROM (SELECT printf('D%03d', row_number() OVER (ORDER BY CASE pattern WHEN 'data_dead_end' THEN 1 WHEN 'phantom_dependency' THEN 2 WHEN 'orphaned_impl' THEN 4 ELSE 7 END, file, line, entity)) AS id, pattern, entity FROM found) ORDER BY id LIMIT 5""")
+@query("top_issues")
 def _(g):
     from weftgraph.operators.summary import top_issues
 
-    return top_issues(d.numbered(_some(g))).select("id", "pattern", "entity")
+    return top_issues(d.diagnostics(g)).select("id", "pattern", "entity")
 
 
 @query("diagnostics")
@@ -243,22 +229,6 @@ def _(g):
     return d.diagnostics(g).select("id", "pattern", "severity", "confidence", "entity", "loc")
 
 
-@query("severity_counts_all")
-def _(g):
-    from weftgraph.operators.summary import severity_counts
-
-    return severity_counts(d.diagnostics(g))
-
-
-@query("top_issues_all")
-def _(g):
-    from weftgraph.operators.summary import top_issues
-
-    return top_issues(d.diagnostics(g)).select("id", "pattern", "entity")
-
-
-
-
 FLOW = """, fe AS (SELECT DISTINCT c.src, coalesce(r.dst, c.dst) AS dst FROM edge c LEFT JOIN sym i ON i.id = c.dst AND i.is_import LEFT JOIN edge r ON r.src = i.id AND r.edge_kind = 'References' WHERE c.edge_kind = 'Calls'),
 walk AS (
   SELECT id AS entry, [id] AS path, id AS last, false AS cyc, 0 AS depth FROM {start}
@@ -271,46 +241,26 @@ def _shown(flows: DataFrame) -> DataFrame:
     return flows.select("entry", F.array_join("path", ">").alias("path"), "is_cyclic")
 
 
-@query("flow_forward", FLOW.format(start="sym WHERE entry", edges="fe", depth=4), recursive=True)
-def _(g):
-    from weftgraph.operators.flows import all_flows
-
-    return _shown(all_flows(g, depth=4))
+TALK = """t AS (SELECT DISTINCT conv_id AS cv, turn AS tn, role FROM conversations),
+k AS (SELECT *, row_number() OVER (PARTITION BY cv ORDER BY tn, role) AS k, count(*) OVER (PARTITION BY cv) AS n, 'talk/c' || cv || '.py::' || coalesce(role, '') || '_' || tn AS q FROM t)
+"""
 
 
-@query("flow_backward", FLOW.format(start="sym WHERE id LIKE 'S1%'", edges="(SELECT DISTINCT dst AS src, src AS dst FROM edge WHERE edge_kind = 'Calls')", depth=3), recursive=True)
+@query("flow_forward", "SELECT 'T' || cv || '_1' AS entry, string_agg('T' || cv || '_' || k, '>' ORDER BY k) FILTER (k > 1) AS path, false AS is_cyclic FROM k WHERE n > 1 GROUP BY cv", ctes=TALK, source=conversation_graph)
 def _(g):
-    from weftgraph.operators.flows import trace_to
+    from weftgraph.operators.flows import all_flows
 
-    return _shown(trace_to(g, g.symbols.filter("id LIKE 'S1%'"), depth=3))
+    return _shown(all_flows(g))
 
 
-@query("flow_backward_all", FLOW.format(start="sym", edges="(SELECT DISTINCT dst AS src, src AS dst FROM edge WHERE edge_kind = 'Calls')", depth=10), recursive=True)
+@query("flow_backward", FLOW.format(start="sym", edges="(SELECT DISTINCT dst AS src, src AS dst FROM edge WHERE edge_kind = 'Calls')", depth=10), recursive=True)
 def _(g):
     from weftgraph.operators.flows import trace_to
 
     return _shown(trace_to(g, g.symbols))
 
 
-@query("flow_dedup", FLOW.format(start="sym WHERE entry", edges="fe", depth=3).replace("SELECT entry, array_to_string(path[2:], '>') AS path, cyc AS is_cyclic FROM walk w", ", q AS (SELECT id, any_value(file || '::' || name) AS q FROM sym GROUP BY id), ends AS (SELECT w.*, a.q AS e, list_transform(path[2:], lambda x: x) AS steps FROM walk w JOIN q a ON a.id = entry").rstrip() + """),
-steps AS (SELECT rn, string_agg(q.q, '>' ORDER BY k) AS steps FROM (SELECT rn, unnest(steps) AS x, generate_subscripts(steps, 1) AS k FROM (SELECT *, row_number() OVER () AS rn FROM ends)) JOIN q ON q.id = x GROUP BY rn),
-named AS (SELECT r.e, s.steps FROM (SELECT *, row_number() OVER () AS rn FROM ends) r JOIN steps s USING (rn))
-SELECT e AS entry, steps, 1::BIGINT AS n FROM named GROUP BY e, steps""", recursive=True)
-def _(g):
-    from weftgraph.operators.flows import all_flows, deduplicated, flow_entries
-
-    f = deduplicated(flow_entries(g, all_flows(g, depth=3)))
-    return f.groupBy("entry", F.array_join(F.transform("steps", lambda s: s["entity"]), ">").alias("steps")).agg(F.count("*").alias("n"))
-
-
-@query("flow_forward_all", source=conversation_graph)
-def _(g):
-    from weftgraph.operators.flows import all_flows
-
-    return _shown(all_flows(g))
-
-
-@query("flow_dedup_all", source=conversation_graph)
+@query("flow_dedup", """SELECT any_value(q) FILTER (k = 1) AS entry, any_value(q) FILTER (k = n) AS exit, string_agg(q, '>' ORDER BY k) FILTER (k > 1) AS steps, 1::BIGINT AS n FROM k WHERE n > 1 GROUP BY cv""", ctes=TALK, source=conversation_graph)
 def _(g):
     from weftgraph.operators.flows import all_flows, deduplicated, flow_entries
 

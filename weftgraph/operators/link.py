@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from weftgraph import schemas
 from weftgraph.functions import paths
 from weftgraph.operators.graph import CodeGraph, edge_kind
+from weftgraph.operators.intervals import nearest_imports
 from weftgraph.runtime import cut
 from weftgraph.sources.files import source_files
 from weftgraph.sources.javascript_code import parse_scripts
@@ -55,11 +56,8 @@ def resolve_in_files(rows: DataFrame) -> CodeGraph:
     held = calls.filter(F.col("arg").rlike("^(self|this)\\.[^.]+\\.[^.]+$")).withColumns({"a": F.split_part("arg", F.lit("."), F.lit(2)), "m": F.split_part("arg", F.lit("."), F.lit(3))})
     held = held.join(typed, (F.col("file") == F.col("_tf")) & (F.col("a") == F.col("_attr"))).join(of_class, (F.col("file") == F.col("_file")) & (F.col("_type") == F.col("_class")) & (F.col("m") == F.col("_name")))
     plain = calls.filter("NOT contains(arg, '.')").join(_named(symbols), (F.col("file") == F.col("_file")) & (F.col("arg") == F.col("_name")))
-    imports = symbols.filter(paths.is_import(F.col("annotations"))).select(F.col("file").alias("_file"), F.col("name").alias("_name"), F.col("id").alias("_dst"), F.col("line").alias("_line"), F.col("ord").alias("_ord"))
     other = refs.filter("tag IN ('import', 'instance_attr_type')").withColumn("_dst", F.lit(None).cast("string"))
-    uses = refs.filter("tag = 'attribute_access'").join(imports, (F.col("file") == F.col("_file")) & (F.col("arg") == F.col("_name")), "left")
-    above = F.coalesce(F.col("_line") <= F.col("line"), F.lit(False))
-    uses = _first(uses, ["id"], [above.cast("int").desc(), F.when(above, F.col("_line")).desc_nulls_last(), "_ord"])
+    uses = nearest_imports(refs.filter("tag = 'attribute_access'").withColumn("name", F.col("arg")), symbols.filter(paths.is_import(F.col("annotations")))).withColumnRenamed("import_id", "_dst")
     out = [x.withColumn("dst", F.col("_dst")) for x in (own, held, plain, uses, other)]
     done = F.when(F.col("dst").isNotNull(), "Resolved").otherwise("Partial")
     found = [x.withColumns({"edge_kind": edge_kind(F.col("kind")), "resolution": done, "resolution_info": F.when(F.col("dst").isNull(), F.concat_ws(":", "tag", "arg"))}).select(*REF) for x in out]
