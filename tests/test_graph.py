@@ -110,3 +110,24 @@ def test_pattern_filter_prunes_the_other_detectors(spark):
     g = graph(spark, [symbol("a", "a")], [])
     both = detectors.dead_end(g).unionByName(detectors.orphaned_impl(g)).filter("pattern = 'orphaned_impl'")
     assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_versions_of_many_digits(spark):
+    from weftgraph.operators import detectors
+    from weftgraph.sources.projection import _symbols
+
+    names = ["job_v9", "job_v10", "job_v12345678901", "job_V12345678902", "job_v007", "plain", "_v1"]
+    s = _symbols(spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i long, n string"), "concat('s', i)", "Function", "n", "'a/b.py'", "i", "i")
+    got = {r.name: (r.base, r.version.digits) for r in detectors.version_members(CodeGraph.of(s, spark.createDataFrame([], schemas.REFS))).collect()}
+    assert got == {"job_v9": ("job", "9"), "job_v10": ("job", "10"), "job_v12345678901": ("job", "12345678901"), "job_V12345678902": ("job", "12345678902"), "job_v007": ("job", "7")}
+    ordered = [r.name for r in detectors.version_members(CodeGraph.of(s, spark.createDataFrame([], schemas.REFS))).orderBy("version").collect()]
+    assert ordered == ["job_v007", "job_v9", "job_v10", "job_v12345678901", "job_V12345678902"]
+
+
+def test_components_of_a_long_chain_and_of_isolated_symbols(spark):
+    from weftgraph.sources.projection import _refs, _symbols
+
+    s = _symbols(spark.range(3000), "concat('s', lpad(id, 5, '0'))", "Function", "concat('f', id)", "'a.py'", "id", "id")
+    e = _refs(spark.range(999).selectExpr("concat('s', lpad(id, 5, '0')) AS src", "concat('s', lpad(id + 1, 5, '0')) AS dst"), "Call", "'a.py'")
+    sizes = CodeGraph.of(s, e).components().groupBy("component").count()
+    assert sorted(r["count"] for r in sizes.collect()) == [1] * 2000 + [1000]

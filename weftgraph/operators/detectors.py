@@ -16,8 +16,11 @@ from pyspark.sql.window import Window
 from weftgraph import schemas
 from weftgraph.functions import paths
 from weftgraph.operators.graph import CodeGraph, back_edge_cycles, canonical
+from weftgraph.runtime import number_rows
 
 CALLABLE = ("Function", "Method")
+#: Callers that a finding names.
+SHOWN = 5
 
 
 def prepared(graph: CodeGraph, root: str = "") -> DataFrame:
@@ -103,14 +106,15 @@ def phantom_dependency(graph: CodeGraph, root: str = "") -> DataFrame:
 
 def isolated_cluster(graph: CodeGraph, root: str = "") -> DataFrame:
     """Components of two or more symbols without any root or import, that have edges of their own."""
-    s = prepared(graph, root).join(graph.components().withColumnRenamed("id", "_i"), F.col("id") == F.col("_i")).drop("_i")
+    parts = graph.components()
+    s = prepared(graph, root).join(parts.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i")).drop("_i")
     counted = ~F.col("is_test") & ~F.col("name").startswith("test_") & (F.col("kind") != "Module")
     order = F.struct("ord", "file", "line", "column", "name", "rel")
     groups = s.groupBy("component").agg(
         F.count_if(counted).alias("n"), F.bool_or("excluded").alias("rooted"), F.bool_and("is_test").alias("tests"), F.min(order).alias("first"),
         F.array_sort(F.collect_list(F.when(counted & ~F.col("excluded"), order))).alias("members"),
     ).filter("n >= 2 AND NOT rooted AND NOT tests")
-    inner = used_edges(graph).join(graph.components().withColumnRenamed("id", "_i").withColumnRenamed("component", "_c"), F.col("src") == F.col("_i")).groupBy("_c").agg(F.count("*").alias("n_edges"))
+    inner = used_edges(graph).join(parts.withColumnRenamed("id", "_i").withColumnRenamed("component", "_c"), F.col("src") == F.col("_i")).groupBy("_c").agg(F.count("*").alias("n_edges"))
     g = groups.join(inner, F.col("component") == F.col("_c"))
     g = g.withColumns({"names": F.array_join(F.transform("members", lambda m: m["name"]), ", "), "rel": F.col("first.rel"), "line": F.col("first.line"), "column": F.col("first.column")})
     g = _with_file_count(g, graph)
@@ -264,8 +268,12 @@ def production_calls(graph: CodeGraph) -> DataFrame:
 
 
 def _caller_counts(graph: CodeGraph) -> DataFrame:
-    g = production_calls(graph).groupBy("callee").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("c_ord", "caller", "c_name"))).alias("l"))
-    return g.select("callee", "n", F.array_join(F.transform(F.slice("l", 1, 5), lambda x: x["c_name"]), ", ").alias("who"))
+    """(callee, n, who): callers outside tests and the names of the first SHOWN of them; a task holds no more than these of one callee."""
+    calls = production_calls(graph)
+    n = calls.groupBy("callee").agg(F.count("*").alias("n"))
+    first = calls.withColumn("_k", F.row_number().over(Window.partitionBy("callee").orderBy("c_ord", "caller"))).filter(F.col("_k") <= SHOWN)
+    who = first.groupBy(F.col("callee").alias("_w")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "c_name"))), lambda x: x["c_name"]), ", ").alias("who"))
+    return n.join(who, F.col("callee") == F.col("_w")).select("callee", "n", "who")
 
 
 def _same_place(a: str, b: str) -> Column:
@@ -319,11 +327,10 @@ def _migration(met: DataFrame, conf: str | Column) -> DataFrame:
 
 
 def version_members(graph: CodeGraph, root: str = "") -> DataFrame:
-    """Callables named <base>_v<number> (else the last _V<number>)."""
-    s = _callables(graph, root)
-    pattern = F.when(F.col("name").rlike("^.+_v[0-9]{1,9}$"), F.lit("^(.+)_v([0-9]{1,9})$")).when(F.col("name").rlike("^.+_V[0-9]{1,9}$"), F.lit("^(.+)_V([0-9]{1,9})$"))
-    s = s.withColumn("_p", pattern).filter("_p IS NOT NULL")
-    return s.withColumns({"base": F.regexp_extract("name", r"^(.+)_[vV][0-9]{1,9}$", 1), "version": F.regexp_extract("name", r"_[vV]([0-9]{1,9})$", 1).cast("long")}).drop("_p")
+    """Callables named <base>_v<number> (else the last _V<number>); version compares as a number of any length."""
+    s = _callables(graph, root).filter(F.col("name").rlike("^.+_[vV][0-9]+$"))
+    digits = F.regexp_replace(F.regexp_extract("name", r"_[vV]([0-9]+)$", 1), "^0+(?=.)", "")
+    return s.withColumns({"base": F.regexp_extract("name", r"^(.+)_[vV][0-9]+$", 1), "version": F.struct(F.length(digits).alias("n"), digits.alias("digits"))})
 
 
 def version_pairs(graph: CodeGraph, root: str = "") -> DataFrame:
@@ -402,9 +409,9 @@ REGISTRY: dict[str, Callable[[CodeGraph, str], DataFrame]] = {
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """Add ids D001, D002 and so on, in order of detector and place. One task numbers the findings."""
-    order = [schemas.rank(F.col("pattern"), schemas.PATTERNS), "file", "line", "column", "entity", "message"]
-    return found.withColumn("id", F.format_string("D%03d", F.row_number().over(Window.orderBy(*order))))
+    """Add ids D001, D002 and so on, in order of detector and place; rows are numbered by partition, not in one task."""
+    order = [schemas.rank(F.col("pattern"), schemas.PATTERNS), *(F.col(c) for c in ("file", "line", "column", "entity", "message", "confidence", "loc"))]
+    return number_rows(found, order, "_no").withColumn("id", F.format_string("D%03d", F.col("_no") + 1)).drop("_no")
 
 
 def diagnostics(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators.graph import CodeGraph
-from weftgraph.runtime import cut
+from weftgraph.runtime import cut, number_rows
 
 ALL_DEPTH, TRACE_DEPTH = 64, 10
 FLOWS = "entry string, path array<string>, is_cyclic boolean"
@@ -69,10 +69,9 @@ def all_flows(graph: CodeGraph, depth: int = ALL_DEPTH, distinct: bool = True) -
 
 
 def flow_entries(graph: CodeGraph, flows: DataFrame) -> DataFrame:
-    """Flows by qualified names: id, description, entry, exit, steps, issues. One task numbers them."""
+    """Flows by qualified names: id, description, entry, exit, steps, issues; numbered in order of entry and path."""
     names = graph.symbols.select(F.col("id").alias("_i"), F.col("qualified_name").alias("_q"))
-    order = Window.orderBy("entry", "path", "is_cyclic")
-    f = flows.withColumn("n", F.row_number().over(order))
+    f = number_rows(flows, [F.col(c) for c in ("entry", "path", "is_cyclic")], "_no").withColumn("n", F.col("_no") + 1).drop("_no")
     steps = f.select("n", F.posexplode("path").alias("k", "step")).join(names, F.col("step") == F.col("_i"), "left")
     step = F.struct("k", F.coalesce("_q", F.lit("unknown")).alias("entity"))
     steps = steps.groupBy("n").agg(F.array_sort(F.collect_list(step)).alias("s")).withColumnRenamed("n", "_n")
@@ -90,9 +89,9 @@ def flow_entries(graph: CodeGraph, flows: DataFrame) -> DataFrame:
 
 def deduplicated(entries: DataFrame) -> DataFrame:
     """The first flow of each (entry, exit, steps), numbered anew."""
-    w = Window.partitionBy("entry", "exit", "steps").orderBy("id")
+    w = Window.partitionBy("entry", "exit", "steps").orderBy(F.length("id"), "id")
     first = entries.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
-    return first.withColumn("id", F.format_string("F%03d", F.row_number().over(Window.orderBy(F.length("id"), "id"))))
+    return number_rows(first, [F.length("id"), F.col("id")], "_no").withColumn("id", F.format_string("F%03d", F.col("_no") + 1)).drop("_no")
 
 
 def find_symbol(entities: DataFrame, wanted: str) -> str:
