@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parent
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BYTES = 2 << 20
+FULL = 0.5
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -101,6 +102,7 @@ class Scratch:
         df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *(v.alias(k) for k, v in sums.items())).write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weft_path, out._weft_seen = path, seen.get
+        _breathe(self.spark)
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -121,6 +123,13 @@ class Scratch:
                 fs.delete(p, True)
 
 
+def _breathe(spark: SparkSession) -> None:
+    """Collect the driver's garbage where its heap has grown beyond FULL of what it may have: plans of many small jobs would else fill it."""
+    run = spark._jvm.java.lang.Runtime.getRuntime()
+    if run.totalMemory() > FULL * run.maxMemory():
+        spark._jvm.System.gc()
+
+
 def rows(table: DataFrame) -> int:
     """Rows of a scratch table."""
     return table._weft_seen["n_rows"]
