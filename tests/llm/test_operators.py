@@ -254,6 +254,72 @@ def test_mpeg_resynchronises_and_checks():
     assert mpeg.read_mpeg(media + b"TAG" + bytes(125))["tags"] == "id3v2,id3v1"
 
 
+def test_seek_tables():
+    import struct
+
+    payload = bytes(range(256)) * 400
+    media = mpeg.write_mpeg(payload)
+    got = mpeg.read_mpeg(media)
+    assert got["table_kind"] == "Xing" and len(got["table_points"]) == 100
+    start = got["offsets"][0] - mpeg.LENGTHS[1]  # points count from the table's own frame
+    for k in (0, 25, 50, 99):  # each leads to its frame within the table's precision
+        assert abs(got["offsets"][k * got["frames"] // 100] - start - got["table_points"][k]) <= got["table_bytes"] / 256 + 1
+    frame = bytes((0xFF, 0xFB, 1 << 4 | 2 << 2, 0xC4))
+    lame = frame + bytes(17) + b"Info" + struct.pack(">II", 1, 3) + b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    head = lame + bytes(mpeg.LENGTHS[1] - len(lame))
+    plain = frame + bytes(mpeg.LENGTHS[1] - 4)
+    got = mpeg.read_mpeg(head + plain * 3)
+    assert (got["table_kind"], got["table_frames"], got["frames"], got["samples"], got["heard"]) == ("Info", 3, 3, 3456, 3456 - 1576) and got["table_points"] is None
+    vbri = frame + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 529, 75, 4000, 3, 3, 2, 2, 1) + struct.pack(">HHH", 72, 72, 72)
+    got = mpeg.read_mpeg(vbri + bytes(mpeg.LENGTHS[1] - len(vbri)) + plain * 3)
+    assert (got["table_kind"], got["table_bytes"], got["table_points"], got["heard"]) == ("VBRI", 4000, [0, 144, 288], 3456 - 529)
+    cut = frame + bytes(17) + b"Xing" + struct.pack(">I", 15) + bytes(mpeg.LENGTHS[1] - 29)
+    assert mpeg.read_mpeg(cut + plain)["table_frames"] == 0
+
+
+@pytest.mark.parametrize(("second", "third", "mode"), [(0xFE, 0x84, 0xC0), (0xFE, 0x84, 0x00), (0xFE, 0x84, 0x50), (0xFC, 0xA4, 0xC0), (0xFC, 0xA4, 0x00), (0xFC, 0xA4, 0x60), (0xFC, 0x18, 0xC0), (0xF4, 0x84, 0xC0)])
+def test_checksums_of_layers_one_and_two(second, third, mode):
+    """Layers I and II, one and two channels, joint stereo, low rates: a flip counts exactly where the checksum reaches."""
+    rng = random.Random(second * 7 + mode)
+    version, layer, size, _, hertz, checked, _, kbit = mpeg.header(bytes((0xFF, second, third, mode)), 0)
+    assert checked and layer in (1, 2)
+    body = bytes(rng.randrange(256) for _ in range(size - 6))
+    bits = mpeg.protected_bits(body, 0, version, layer, kbit, hertz, mode >> 6, mode >> 4 & 3)
+    crc = mpeg.crc16_bits(bytes((third, mode)) + body, 16 + bits)
+    frame = bytes((0xFF, second, third, mode)) + crc.to_bytes(2, "big") + body
+    assert mpeg.read_mpeg(frame * 3)["crc_good"] == 3
+
+    def flipped(bit):
+        b = bytearray(frame)
+        b[6 + bit // 8] ^= 128 >> bit % 8
+        return mpeg.read_mpeg(bytes(b) + frame)["crc_bad"]
+
+    assert flipped(0) == flipped(bits - 1) == 1 and flipped(bits) == 0
+    assert layer == 2 or bits == {0xC0: 128, 0x00: 256, 0x50: 160}[mode]
+
+
+def test_bitwise_checksum():
+    data = bytes(range(20))
+    assert mpeg.crc16_bits(data, 160) == mpeg.crc16(data)
+    for n in range(0, 160, 7):  # a bit at a time
+        c = 0xFFFF
+        for k in range(n):
+            top = c >> 15 ^ data[k // 8] >> (7 - k % 8) & 1
+            c = (c << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+        assert mpeg.crc16_bits(data, n) == c
+
+
+def test_media_on_odd_rows(spark, odd):
+    wide = clashing(odd).withColumn("payload", odd["text"].cast("binary"))
+    rows = mpeg.index_mpeg(mpeg.payload_to_mpeg(wide)).collect()
+    assert len(rows) == len(ODD) and all(r.score == 7 and bytes(r.payload) == (r.text or "").encode() for r in rows)
+    broken = mpeg.index_mpeg(odd.selectExpr("*", "cast(text AS binary) AS media")).collect()
+    assert all(r.frames == 0 and r.offsets == [] and r.table_kind is None for r in broken)
+    assert mpeg.index_mpeg(mpeg.payload_to_mpeg(wide.limit(0))).collect() == []
+    long = mpeg.write_mpeg(bytes(5_000_000))
+    assert mpeg.read_mpeg(long)["payload"] == bytes(5_000_000)
+
+
 def test_media_query_equals_the_contract(spark, docs):
     for r in QUERIES["op3_mpeg_audio"](spark, SF).collect():
         raw = (docs[r.doc_id].text or "").encode()
@@ -285,6 +351,30 @@ def test_repeats_within_and_across(spark):
     assert got == substrings.brute_force(rows)
 
 
+def test_index_that_outlives_its_session(spark, tmp_path):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    passage, other = [" ".join(word() for _ in range(50)) for _ in range(3)], lambda: " ".join(word() for _ in range(15))
+    rows = [(i, " ".join([other(), rng.choice(passage), other(), *([other()] if i % 2 else [rng.choice(passage)])])) for i in range(24)] + [(24, passage[0]), (25, passage[0]), (26, None)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string")
+    got = {}
+    for k in range(0, 27, 6):
+        index = substrings.FingerprintIndex(spark, str(tmp_path / "index"))  # opened anew for each batch
+        for name in (r for level in index.levels for r in level):  # as a new session would find it
+            spark.sql(f"DROP TABLE {name}")
+        index = substrings.FingerprintIndex(spark, str(tmp_path / "index"))
+        assert index.generation == k // 6
+        history = frame(rows[:k]) if k else None
+        for r in substrings.remove_repeats(frame(rows[k : k + 6]), batches=1, index=index, history=history).collect():
+            got[r.doc_id] = (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest())
+    assert got == substrings.brute_force(rows) and sum(v[1] > 0 for v in got.values()) > 15
+    assert 1 <= len(index.levels[0]) + len(index.levels[1]) + len(index.levels[2]) < 5  # runs were compacted
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(frame(rows[:1]), index=substrings.FingerprintIndex(spark, str(tmp_path / "index")))
+    wide = substrings.remove_repeats(frame(rows[:1]).selectExpr("*", "1 AS _id", "2 AS key", "3 AS print"))
+    assert wide.columns == ["doc_id", "n_words", "n_removed", "kept"] and wide.count() == 1
+
+
 def test_repeats_on_odd_rows(spark, odd):
     got = {(r.doc_id, r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(clashing(odd)).collect()}
     assert (None, 0, 0, "") in got and (1, 3, 0, "a b c") in got and (3, 3000, 2999, "q") in got

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.llm.tasks import tidy
 from weftgraph.runtime import ship_package
@@ -49,6 +50,85 @@ def crc16(data: bytes) -> int:
     return c
 
 
+def crc16_bits(data: bytes, bits: int) -> int:
+    """The same over the first bits of data."""
+    c = crc16(data[: bits >> 3])
+    for k in range(bits & 7):
+        c = (c << 1 ^ (0x8005 if (c >> 15 ^ data[bits >> 3] >> (7 - k)) & 1 else 0)) & 0xFFFF
+    return c
+
+
+#: Runs of (subbands, bits of their allocation) in Layer II by the number of subbands; 0: the low sampling rates.
+ALLOCATION = {27: ((11, 4), (12, 3), (4, 2)), 30: ((11, 4), (12, 3), (7, 2)), 8: ((2, 4), (6, 3)), 12: ((2, 4), (10, 3)), 0: ((4, 4), (7, 3), (19, 2))}
+
+
+def protected_bits(data: bytes, at: int, version: int, layer: int, kbit: int, hertz: int, mode: int, extension: int) -> int:
+    """Bits behind the checksum of a Layer I or II frame that it covers: allocations, and in Layer II what says how scale factors are sent."""
+    channels = 1 if mode == 3 else 2
+    bound = 4 * (extension + 1) if mode == 1 else 32
+    if layer == 1:
+        return 4 * (channels * bound + 32 - bound) if channels == 2 else 128
+    each = kbit // channels
+    if version != 3:
+        table = 0
+    elif hertz == 48000 and each >= 56 or 56 <= each <= 80:
+        table = 27
+    elif hertz != 48000 and each >= 96:
+        table = 30
+    else:
+        table = 8 if hertz != 32000 and each <= 48 else 12
+    value, place, used, band = int.from_bytes(data[at : at + 64], "big"), 512, 0, 0
+    for n, bits in ALLOCATION[table]:
+        for _ in range(n):
+            for _ in range(channels if band < bound else 1):
+                place -= bits
+                some = value >> place & (1 << bits) - 1 != 0
+                used += some * (1 if band < bound else channels)
+            band += 1
+    return 512 - place + 2 * used
+
+
+def seek_table(data: bytes, at: int, side: int, size: int) -> dict | None:
+    """What the first frame says of the whole: a Xing or Info table behind the side information, or a VBRI table 32 bytes behind the header.
+
+    kind, frames, bytes, quality, delay and padding (samples that the encoder put before and after the sound), and points:
+    byte places (from the table's frame) at equal steps of time. What is not there is None, as is a table that does not fit the frame.
+    """
+    out = dict.fromkeys(("kind", "frames", "bytes", "quality", "delay", "padding", "points"))
+    p, end = at + 4 + side, at + size
+    for p in (at + 4 + side, at + 6 + side):
+        if data[p : p + 4] in (b"Xing", b"Info") and p + 8 <= end:
+            out["kind"], flags = data[p : p + 4].decode(), struct.unpack_from(">I", data, p + 4)[0]
+            p += 8
+            for bit, name, n in ((1, "frames", 4), (2, "bytes", 4), (4, "points", 100), (8, "quality", 4)):
+                if flags & bit:
+                    if p + n > end:
+                        return out
+                    if name == "points":
+                        out["points"] = list(data[p : p + n])
+                    else:
+                        out[name] = struct.unpack_from(">I", data, p)[0]
+                    p += n
+            if out["points"] is not None:  # in 256ths of the bytes
+                out["points"] = [x * out["bytes"] // 256 for x in out["points"]] if out["bytes"] is not None else None
+            if p + 24 <= end and data[p : p + 4] in (b"LAME", b"Lavc", b"Lavf", b"L3.9"):
+                bits = int.from_bytes(data[p + 21 : p + 24], "big")
+                out["delay"], out["padding"] = bits >> 12, bits & 0xFFF
+            return out
+    p = at + 36
+    if data[p : p + 4] == b"VBRI" and p + 26 <= end:
+        _, delay, quality, n_bytes, frames, entries, scale, width, _ = struct.unpack_from(">HHHIIHHHH", data, p + 4)
+        out |= {"kind": "VBRI", "frames": frames, "bytes": n_bytes, "quality": quality, "delay": delay}
+        if 1 <= width <= 4 and p + 26 + entries * width <= end:
+            points, place = [], 0
+            for k in range(entries):
+                points.append(place)
+                place += scale * int.from_bytes(data[p + 26 + k * width : p + 26 + (k + 1) * width], "big")
+            out["points"] = points
+        return out
+    return None
+
+
 _HEADS = {}
 for _i in range(1, 15):
     _h = bytes((0xFF, 0xFA, _i << 4 | 2 << 2, 0xC4))
@@ -81,8 +161,8 @@ def write_mpeg(payload: bytes) -> bytes:
     return b"".join([tag, table, bytes(LENGTHS[1] - len(table)), *frames])
 
 
-def header(data: bytes, at: int) -> tuple[int, int, int, int, int, bool, int] | None:
-    """(version id, layer, bytes, samples, hertz, checksummed, side bytes) of the frame header at a place, if valid."""
+def header(data: bytes, at: int) -> tuple[int, int, int, int, int, bool, int, int] | None:
+    """(version id, layer, bytes, samples, hertz, checksummed, side bytes, kbit/s) of the frame header at a place, if valid."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] < 0xE0:
         return None
     b1, b2, b3 = data[at + 1], data[at + 2], data[at + 3]
@@ -97,7 +177,7 @@ def header(data: bytes, at: int) -> tuple[int, int, int, int, int, bool, int] |
         size = samples * 125 * kbit // hertz + pad
     mono = b3 >> 6 == 3
     side = 0 if layer != 3 else (17 if mono else 32) if version == 3 else (9 if mono else 17)
-    return version, layer, size, samples, hertz, not b1 & 1, side
+    return version, layer, size, samples, hertz, not b1 & 1, side, kbit
 
 
 def read_mpeg(data: bytes) -> dict:
@@ -115,7 +195,7 @@ def read_mpeg(data: bytes) -> dict:
         tags.append("id3v1")
         end -= 128
     offsets, parts, table, samples, good, bad, skipped, hertz, first = [], [], None, 0, 0, 0, 0, 0, True
-    seen: dict[bytes, int] = {}
+    seen: dict[tuple[bytes, int], int] = {}
     synced = False
     while at + 4 <= end:
         h = header(data, at)
@@ -126,46 +206,49 @@ def read_mpeg(data: bytes) -> dict:
             skipped += nxt - at + 1
             at, synced = nxt, False
             continue
-        version, layer, size, n, hz, checked, side = h
+        version, layer, size, n, hz, checked, side, kbit = h
         synced = True
         body = at + (6 if checked else 4)
-        if first and layer == 3 and data[body + side : body + side + 4] in (b"Xing", b"Info"):
-            flags, p = struct.unpack_from(">I", data, body + side + 4)[0], body + side + 8
-            table = {}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    table[name] = struct.unpack_from(">I", data, p)[0]
-                    p += 4
-            at, first = at + size, False
+        if first and layer == 3 and (found := seek_table(data, at, side, size)) is not None:
+            table, at, first = found, at + size, False
             continue
         first = False
-        if checked and layer == 3:
-            covered = data[at + 2 : at + 4] + data[body : body + side]
-            if (crc := seen.get(covered)) is None:
-                crc = crc16(covered)
+        if checked:
+            if layer == 3:
+                bits = 8 * side
+            else:
+                bits = protected_bits(data, body, version, layer, kbit, hz, data[at + 3] >> 6, data[at + 3] >> 4 & 3)
+            covered = data[at + 2 : at + 4] + data[body : body + (bits + 7) // 8]
+            if (crc := seen.get((covered, bits))) is None:
+                crc = crc16_bits(covered, 16 + bits) if len(covered) * 8 >= 16 + bits else -1
                 if len(seen) < 4096:
-                    seen[covered] = crc
+                    seen[covered, bits] = crc
             ok = crc == data[at + 4] << 8 | data[at + 5]
             good, bad = good + ok, bad + (not ok)
         offsets.append(at)
         samples, hertz = samples + n, hertz or hz
         parts.append(data[body + side : at + size])
         at += size
-    payload = b"".join(parts)
+    payload, table = b"".join(parts), table or {}
+    silent = (table.get("delay") or 0) + (table.get("padding") or 0)
     return {
         "payload": payload if declared is None else payload[:declared], "frames": len(offsets), "samples": samples, "hertz": hertz, "offsets": offsets, "crc_good": good, "crc_bad": bad,
-        "skipped": skipped, "tags": ",".join(tags), "table_frames": None if table is None else table.get("frames"), "table_bytes": None if table is None else table.get("bytes"),
+        "skipped": skipped, "tags": ",".join(tags), "table_frames": table.get("frames"), "table_bytes": table.get("bytes"), "table_kind": table.get("kind"), "table_points": table.get("points"),
+        "heard": max(0, samples - silent),
     }
 
 
-INDEX = "payload binary, frames int, samples long, hertz int, offsets array<int>, crc_good int, crc_bad int, skipped long, tags string, table_frames long, table_bytes long"
-_TYPES = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+INDEX = (
+    "payload binary, frames int, samples long, hertz int, offsets array<int>, crc_good int, crc_bad int, skipped long, tags string, table_frames long, table_bytes long, table_kind string, "
+    "table_points array<long>, heard long"
+)
+_TYPES = [pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.int64()]
 
 
 def _arrow(df: DataFrame, column: str, names: list[str], kinds: str, types: list, fn) -> DataFrame:
     ship_package(df.sparkSession)
     kept = [c for c in df.columns if c not in names]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), kinds])
+    schema = T.StructType([*(df.schema[c] for c in kept), *T.StructType.fromDDL(kinds).fields])
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +275,9 @@ def index_mpeg(df: DataFrame, media: str = "media") -> DataFrame:
 
     payload (the bytes after each frame's side information, cut to the length a
     payload_bytes tag declares), frames, samples and hertz (duration is exactly samples / hertz seconds), offsets (byte
-    place of each frame, for seeking), crc_good and crc_bad (Layer III checksums), skipped
-    (bytes passed over while finding a header anew), tags, table_frames and table_bytes (of a variable-bitrate
-    table). Bytes without audio, empty and null: no frames and an empty payload. Columns of these names are replaced.
+    place of each frame, for seeking), crc_good and crc_bad (checksums of all layers), skipped
+    (bytes passed over while finding a header anew), tags, table_kind (Xing, Info or VBRI), table_frames, table_bytes and table_points (byte places at
+    equal steps of time) of a variable-bitrate table, and heard (samples without the encoder's delay and padding). Bytes without audio, empty and null: no frames and an empty payload. Columns of these names are replaced.
     """
     names = [x.split()[0] for x in INDEX.split(", ")]
     return _arrow(df, media, names, INDEX, _TYPES, lambda v: tuple(read_mpeg(bytes(v or b"")).values()))

@@ -260,15 +260,16 @@ def _all_spans_sql(text: str, base: str, digit: str) -> str:
     """
     trees, least = model()
     parts = []
-    item = "struct<start:int,rank:int,end:int,extra:boolean,score:double>"
+    fields = ",".join(f"{n}:double" for n in FEATURES)
     for g, (name, (kind, pattern)) in enumerate(GENERATORS.items()):
         before = f"substring({text}, greatest(1, x.start + 1 - {BEFORE}), least(x.start, {BEFORE}))"
-        scored = f"transform({_spans_sql(text, pattern)}, x -> struct(x.start AS start, x.end AS end, {features_sql(g, 'x.match', before)} AS f))"
-        score = trees.sql_margin([f"y.f.{n}" for n in FEATURES])
-        made = f"transform({scored}, y -> struct(y.start AS start, {_kind_rank(kind)} AS rank, y.end AS end, true AS extra, {score} AS score))"
+        made = f"transform({_spans_sql(text, pattern)}, x -> struct(x.start AS start, {_kind_rank(kind)} AS rank, x.end AS end, {features_sql(g, 'x.match', before)} AS f))"
         may = CHEAP[name].format(t=text) if name in BARE else f"{digit} AND {CHEAP[name].format(t=text)}"
-        if np.isfinite(least[kind]):
-            parts.append(f"CASE WHEN {may} THEN filter({made}, z -> z.score >= {least[kind]!r}D) ELSE cast(array() AS array<{item}>) END")
+        parts.append(f"CASE WHEN {may} THEN {made} ELSE cast(array() AS array<struct<start:int,rank:int,end:int,f:struct<{fields}>>>) END")
+    score = trees.sql_margin([f"y.f.{n}" for n in FEATURES])
+    scored = f"transform(concat({', '.join(parts)}), y -> struct(y.start AS start, y.rank AS rank, y.end AS end, true AS extra, {score} AS score))"
+    bounds = " ".join(f"WHEN {_kind_rank(k)} THEN z.score >= {v!r}D" for k, v in least.items() if np.isfinite(v))
+    accepted = f"filter({scored}, z -> CASE z.rank {bounds} ELSE false END)"
     own = f"transform({base}, x -> struct(x.start AS start, x.rank AS rank, x.end AS end, false AS extra, 0D AS score))"
     plain = lambda v: f"struct({v}.start AS start, {v}.rank AS rank, {v}.end AS end)"
     none = "cast(array() AS array<struct<start:int,rank:int,end:int>>)"
@@ -283,7 +284,7 @@ def _all_spans_sql(text: str, base: str, digit: str) -> str:
     )
     first = state("0", "false", "struct(0 AS start, 0 AS rank, 0 AS end, true AS extra, 0D AS score)")
     scanned = _scan_sql(f"array_sort(concat({own}, more))", "struct<start:int,rank:int,end:int>", first, step, opened)
-    return _let("more", f"concat({', '.join(parts)})", f"CASE WHEN size(more) = 0 THEN {base} ELSE array_sort({scanned}) END")
+    return _let("more", accepted, f"CASE WHEN size(more) = 0 THEN {base} ELSE array_sort({scanned}) END")
 
 
 def pii_spans(df: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,8 @@ document has only about one different fingerprint for every six words.
 Index: each batch of documents gives one immutable run, sorted and bucketed by fingerprint, with a row
 per fingerprint. A new batch is merge-joined with every run; a fingerprint met in two
 different texts, or in a window that its document repeats, is a hit. Runs of a level are compacted into one
-of the next level as soon as there are FANOUT of them.
+of the next level as soon as there are FANOUT of them. An index with a path outlives its session: a manifest there lists the
+runs by level and the summaries of the documents, and the next batch opens it again.
 
 Verification: the windows behind hits are compared by digests of their very words (64 bits beside the
 fingerprint's 64), runs of windows with one fingerprint at a time where all such runs are equal, and each
@@ -18,6 +19,7 @@ word sequence an earlier document has are removed as a whole and do not enter ve
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -86,13 +88,65 @@ def summarise(df: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs in levels; rows: (print, low, high, again), low and high being the least and largest text digest."""
+    """Sorted immutable runs in levels; rows: (print, low, high, again), low and high being the least and largest text digest.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.root = f"{shared_dir(spark)}/weft-index-{uuid.uuid4().hex}"
+    With a path (in a store that all machines share) the index lasts: opened again, it goes on where it was saved. Without one it lies in a
+    folder of its own until drop(). generation counts the saved batches.
+    """
+
+    RUN = "print BIGINT, low BIGINT, high BIGINT, again BOOLEAN"
+
+    def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = FANOUT):
+        self.spark, self.fanout, self.lasting = spark, fanout, path is not None
+        self.root = path.rstrip("/") if path else f"{shared_dir(spark)}/weft-index-{uuid.uuid4().hex}"
         self.buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.levels: list[list[str]] = []
+        self._replaced: list[str] = []
+        self.summaries: list[str] = []
+        if self.lasting and (saved := self._saved()):
+            self.buckets, self.levels, self.summaries = saved["buckets"], saved["levels"], saved["summaries"]
+            for name in (r for level in self.levels for r in level):
+                if not spark.catalog.tableExists(name):
+                    spark.sql(f"CREATE TABLE {name} ({self.RUN}) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self.root}/{name}'")
+
+    @property
+    def generation(self) -> int:
+        return len(self.summaries)
+
+    def _at(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _saved(self) -> dict | None:
+        p, fs = self._at("manifest.json")
+        if not fs.exists(p):
+            return None
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
+
+    def save(self, summaries: DataFrame) -> None:
+        """Keep the summaries of a batch and write the manifest; it is written beside the old one first. Runs that compaction replaced go last."""
+        name = f"summaries-{uuid.uuid4().hex}"
+        summaries.write.parquet(f"{self.root}/{name}")
+        self.summaries.append(name)
+        new, fs = self._at("manifest.new")
+        stream = fs.create(new, True)
+        stream.write(bytearray(json.dumps({"buckets": self.buckets, "levels": self.levels, "summaries": self.summaries}).encode()))
+        stream.close()
+        old, _ = self._at("manifest.json")
+        fs.delete(old, False)
+        if not fs.rename(new, old):
+            raise OSError(f"{self.root}/manifest.json could not be written")
+        for gone in self._replaced:
+            self._drop(gone)
+        self._replaced = []
+
+    def known(self) -> DataFrame | None:
+        """Summaries of all earlier batches."""
+        return self.spark.read.parquet(*(f"{self.root}/{n}" for n in self.summaries)) if self.summaries else None
 
     def _write(self, rows: DataFrame) -> str:
         name = f"weft_run_{uuid.uuid4().hex}"
@@ -101,9 +155,9 @@ class FingerprintIndex:
         return name
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        p, fs = self._at(name)
+        fs.delete(p, True)
 
     @staticmethod
     def _summed(rows: DataFrame) -> DataFrame:
@@ -134,7 +188,10 @@ class FingerprintIndex:
                 rows = rows.union(self.spark.table(r))
             merged = self._write(self._summed(rows))
             for r in old:
-                self._drop(r)
+                if self.lasting:  # the manifest names it until the next save
+                    self._replaced.append(r)
+                else:
+                    self._drop(r)
             self._push(merged, level + 1)
 
     def drop(self) -> None:
@@ -216,11 +273,11 @@ def _unpacked(df: DataFrame) -> DataFrame:
 
 
 def _later(rows: DataFrame) -> DataFrame:
-    """rows with `late`: whether a smaller id has the same print and digest. A null id is larger than all others."""
-    least = rows.groupBy("print", "digest").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).filter("_n > 1 AND _least IS NOT NULL")
+    """rows with `late`: whether an earlier document has the same print and digest."""
+    least = rows.groupBy("print", "digest").agg(F.min("_id").alias("_least"), F.count("*").alias("_n")).filter("_n > 1")
     least = least.select(F.col("print").alias("_p"), F.col("digest").alias("_d"), "_least")
     met = rows.join(least, (F.col("print") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
-    return met.withColumn("late", F.col("_least").isNotNull() & (F.col("_id").isNull() | (F.col("_id") > F.col("_least")))).drop("_p", "_d", "_least")
+    return met.withColumn("late", F.coalesce(F.col("_id") > F.col("_least"), F.lit(False))).drop("_p", "_d", "_least")
 
 
 def _covered(n: int, runs: np.ndarray) -> np.ndarray:
@@ -260,64 +317,93 @@ def _cleaned(df: DataFrame, columns: list[T.StructField]) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+def _placed(df: DataFrame, id_col: str, text: str, generation: int) -> DataFrame:
+    """(_id, _text): the order of documents as a struct of batch, whether the id is null, and the id."""
+    return df.select(F.struct(F.lit(generation).alias("b"), F.col(id_col).isNull().alias("o"), F.col(id_col).alias("i")).alias("_id"), F.col(text).alias("_text"))
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", batches: int = BATCHES, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """(id_col, n_words, n_removed, kept) of every row: words covered by a window that starts earlier elsewhere are removed.
 
     Earlier is a smaller id, or the same id and an earlier start; a null id comes after all others.
     Rows that share an id count as the same document, so equal rows do not remove each other. Null and empty texts have no
-    words and keep an empty text; texts under WINDOW words stay whole. Windows are judged on the input.
+    words and keep an empty text; texts under WINDOW words stay whole. Windows are judged on the input. Other columns play no part.
+
+    With a lasting index, df is the next batch: all documents of earlier calls come before it, whatever their ids; `history`
+    has the same columns of these (they are read again where they share something with the batch), and the index is saved with the batch.
     """
     spark = df.sparkSession
     ship_package(spark)
-    docs = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    own = FingerprintIndex(spark) if index is None else index
+    if own.generation and history is None:
+        raise ValueError("the index knows earlier documents; they are asked for as `history`")
     scratch = Scratch(spark, "substrings")
-    marks = scratch.write(summarise(docs))
+    try:
+        met = _marked(df, id_col, text, batches, own, history, scratch)
+    except BaseException:
+        scratch.drop_but()
+        raise
+    finally:
+        if index is None:
+            own.drop()
+    return _cleaned(met, [met.schema["_id"]]).select(F.col("_id.i").alias(id_col), "n_words", "n_removed", "kept")
+
+
+def _marked(df: DataFrame, id_col: str, text: str, batches: int, index: FingerprintIndex, history: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(_id, _text, starts, copies) of the rows of df: what _cleaned removes."""
+    spark, now = df.sparkSession, index.generation
+    docs = _placed(df, id_col, text, now)
+    fresh = scratch.write(summarise(docs))
+    known = index.known()
+    marks = fresh if known is None else known.unionByName(fresh)
     # rows whose whole word sequence stands in an earlier document
-    place = F.struct(F.col("_id").isNull().alias("o"), F.col("_id").alias("i"))
-    firsts = marks.filter(f"n_words >= {WINDOW}").groupBy("key").agg(F.min(place).alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_key"), "least")
-    copies = marks.filter(f"n_words >= {WINDOW}").select("_id", "key").join(firsts, F.col("key") == F.col("_key")).filter(place > F.col("least"))
-    copies = cut(copies.select("_id", "key").distinct())
+    firsts = marks.filter(f"n_words >= {WINDOW}").groupBy("key").agg(F.min("_id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_key"), "least")
+    copies = marks.filter(f"n_words >= {WINDOW}").select("_id", "key").join(firsts, F.col("key") == F.col("_key")).filter(F.col("_id") > F.col("least"))
+    copies = scratch.write(copies.select("_id", "key").distinct())
     # batches in order of ids
-    cuts = [] if batches < 2 else sorted({r for r in marks.select(F.percentile_approx("_id", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []})
-    index, hits = FingerprintIndex(spark), None
-    bounds = [None, *cuts, None]
+    cuts = [] if batches < 2 else sorted({r for r in fresh.select(F.percentile_approx("_id.i", [k / batches for k in range(1, batches)], 10_000)).first()[0] or []})
+    hits, bounds, i = None, [None, *cuts, None], F.col("_id.i")
     for lo, hi in zip(bounds, bounds[1:], strict=False):
-        part = marks
+        part = fresh
         if lo is not None:
-            part = part.filter((F.col("_id") > lo) | F.col("_id").isNull() if hi is None else F.col("_id") > lo)
+            part = part.filter((i > lo) | i.isNull() if hi is None else i > lo)
         if hi is not None:
-            part = part.filter(F.col("_id") <= hi)
-        rows = part.select("key", F.explode(F.arrays_zip("prints", "again")).alias("p"))
-        found = index.add(rows.select(F.col("p.prints").alias("print"), F.expr("conv(hex(left(key, 8)), 16, -10)").cast("long").alias("text"), F.col("p.again").alias("again")))
+            part = part.filter(i <= hi)
+        each = part.select("key", F.explode(F.arrays_zip("prints", "again")).alias("p"))
+        found = index.add(each.select(F.col("p.prints").alias("print"), F.expr("conv(hex(left(key, 8)), 16, -10)").cast("long").alias("text"), F.col("p.again").alias("again")))
         hits = found if hits is None else hits.union(found)
-    hits = cut(hits.distinct().select(F.col("print").alias("_hit")))
-    live = marks.join(copies.select(F.col("_id").alias("_c"), F.col("key").alias("_ck")), F.col("_id").eqNullSafe(F.col("_c")) & (F.col("key") == F.col("_ck")), "left_anti")
+    hits = scratch.write(hits.distinct().select(F.col("print").alias("_hit")))
+    live = marks.join(copies.select(F.col("_id").alias("_c"), F.col("key").alias("_ck")), (F.col("_id") == F.col("_c")) & (F.col("key") == F.col("_ck")), "left_anti")
     behind = live.select("_id", F.explode("prints").alias("print")).join(hits, F.col("print") == F.col("_hit"), "left_semi")
-    behind = cut(behind.groupBy("_id").agg(F.collect_set("print").alias("prints")))
-    index.drop()
-    scratch.drop(marks)
-    del live, marks, hits, found, rows, part, firsts, index
+    behind = scratch.write(behind.groupBy("_id").agg(F.collect_set("print").alias("prints")))
+    if index.lasting:
+        index.save(fresh)
+    scratch.drop(fresh, hits)
+    del live, marks, hits, found, each, part, firsts
     release(spark)
     need = behind.select(F.col("_id").alias("_b"), "prints")
-    stretches = scratch.write(_stretches(docs.join(need, F.col("_id").eqNullSafe(F.col("_b"))).select("_id", "_text", "prints")))
-    del need, behind
+    texts = docs.join(need, F.col("_id") == F.col("_b")).select("_id", "_text", "prints")
+    if known is not None:
+        old = history.select(F.col(id_col).alias("_i"), F.col(text).alias("_text"))
+        texts = texts.unionByName(need.filter(F.col("_b.b") < now).join(old, F.col("_b.i").eqNullSafe(F.col("_i"))).select(F.col("_b").alias("_id"), "_text", "prints"))
+    stretches = scratch.write(_stretches(texts))
+    scratch.drop(behind)
+    del need, behind, texts
     release(spark)
     # equal stretches settle all their windows; a fingerprint with different stretches is settled window by window
     whole = _later(stretches.select("print", "digest", "_id", "start", "n")).filter("late").select("_id", "start", "n")
     mixed = stretches.groupBy("print").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select(F.col("print").alias("_m"))
-    single = _unpacked(stretches.join(mixed, F.col("print") == F.col("_m"), "left_semi").select("print", "_id", "start", "n", "windows"))
-    single = scratch.write(single)
+    single = scratch.write(_unpacked(stretches.join(mixed, F.col("print") == F.col("_m"), "left_semi").select("print", "_id", "start", "n", "windows")))
     late = whole.union(_later(single).filter("late").select("_id", "start", "n"))
-    late = late.union(stretches.filter("again IS NOT NULL").select("_id", F.explode("again").alias("start"), F.lit(1).alias("n")))
-    late = cut(late.groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("starts")))
-    scratch.drop_but()
+    late = late.union(stretches.filter("again IS NOT NULL").select("_id", F.explode("again").alias("start"), F.lit(1).alias("n"))).filter(F.col("_id.b") == now)
+    late = late.groupBy("_id").agg(F.collect_list(F.struct("start", "n")).alias("starts"))
+    of_copies = copies.filter(F.col("_id.b") == now).groupBy("_id").agg(F.collect_set("key").alias("copies")).withColumnRenamed("_id", "_x")
+    marked = late.join(of_copies, F.col("_id") == F.col("_x"), "full")
+    marked = scratch.write(marked.select(F.coalesce("_id", "_x").alias("_m"), "starts", "copies"))
+    scratch.drop(stretches, single, copies)
     del whole, mixed, single, stretches
     release(spark)
-    marked = late.join(copies.groupBy("_id").agg(F.collect_set("key").alias("copies")).withColumnRenamed("_id", "_x"), F.col("_id").eqNullSafe(F.col("_x")), "full")
-    marked = cut(marked.select(F.coalesce("_id", "_x").alias("_m"), "starts", "copies"))
-    met = docs.join(marked, F.col("_id").eqNullSafe(F.col("_m")), "left").select("_id", "_text", "starts", "copies")
-    out = _cleaned(met, [docs.schema["_id"]])
-    return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept")
+    return docs.join(marked, F.col("_id") == F.col("_m"), "left").select("_id", "_text", "starts", "copies")
 
 
 def op4_fingerprint_index(spark, sf_dir: str) -> DataFrame:
