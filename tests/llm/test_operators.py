@@ -101,6 +101,31 @@ def test_bpe_on_odd_rows(spark, odd):
     assert bpe.bpe_encode(odd.limit(0), path).collect() == []
 
 
+def test_bpe_query_equals_the_library(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in QUERIES["op1_bpe_automaton"](spark, SF).collect():
+        ids = known.encode(docs[r.doc_id].text or "", add_special_tokens=False).ids
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(packed).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(known.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_one_long_text_of_several_batches(spark, tokenizer):
+    import public_tokenizers
+
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["the", "entebest", "thation", "99", "é"]) for _ in range(600_000))  # beyond 2 MB
+    rows = [(0, "a b"), (1, text), (2, None), (3, "tail")]
+    done = {r.doc_id: r for r in bpe.bpe_round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), public_tokenizers.path("word_bpe_49k.json")).collect()}
+    assert bytes(done[1].ids) == tokenizer.encode(text) and done[1].decoded == tokenizer.decode(done[1].ids) and done[2].decoded == "" and done[3].decoded
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[1][0] == 600_000
+    assert len(minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 4
+    assert quality.statistics(text)[0] == pytest.approx(np.log1p(600_000))
+
+
 # personal data
 
 PATTERNS = {
@@ -587,6 +612,50 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in rows)
 
 
+def test_flat_trees_equal_a_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 5))
+    trees = gbdt.fit(x, (x[:, 0] * x[:, 1] > 0).astype(float), trees=20, depth=4)
+
+    def walk(row):
+        total = trees.base
+        for f, t, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + 1 + (row[f[node]] > t[node])
+            total += leaf[node - len(f)]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(trees.score(x), [walk(r) for r in x])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 399, 400, 401, 5000])
+def test_statistics_count_pairs_the_same_at_every_length(n):
+    rng = random.Random(n)
+    words = [rng.choice(["aa", "b", "Cc.", "ééé", "12"]) for _ in range(n)]
+    got = dict(zip(quality.STATS, quality.statistics(" ".join(words)), strict=True))
+    pairs = {}
+    for p in zip(words, words[1:], strict=False):
+        pairs[p] = pairs.get(p, 0) + 1
+    assert got["top_pair"] == max(pairs.values(), default=1) / n and got["unique_words"] == len(set(words)) / n and got["top_word"] == max(words.count(w) for w in set(words)) / n
+    assert got["log_words"] == pytest.approx(np.log1p(n)) and got["mean_word"] == pytest.approx(np.mean([len(w.encode()) for w in words]))
+
+
+def test_quality_query_equals_brute_force(spark, docs):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in docs}
+    stats = {i: np.array(quality.statistics(r.text), dtype=np.float32).astype(np.float64) for i, r in docs.items()}
+    rows = QUERIES["op8_boosted_quality"](spark, SF).collect()
+    assert {r.doc_id for r in rows} == set(docs)
+    for r in rows:  # equal statistics, equal scores; the cut decides
+        assert r.held_out == held[r.doc_id] and r.predicted == (r.score >= 0.7)
+    taught = [i for i in labels if i in docs and not held[i]]
+    order = sorted(rows, key=lambda r: r.doc_id)
+    model = quality.fit_quality(spark.createDataFrame([(i, stats[i].tolist()) for i in docs], "doc_id long, stats array<float>"), spark.read.parquet(f"{SF}/labels.parquet"))
+    want = model.score(np.stack([stats[r.doc_id] for r in order]))
+    assert len(taught) > 20 and np.allclose([r.score for r in order], want)
+
+
 def test_quality_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (2, None), (3, 0), (None, 1)], "doc_id long, quality int")
     rows = quality.quality_scores(clashing(odd), labels).collect()
