@@ -131,3 +131,36 @@ def test_components_of_a_long_chain_and_of_isolated_symbols(spark):
     e = _refs(spark.range(999).selectExpr("concat('s', lpad(id, 5, '0')) AS src", "concat('s', lpad(id + 1, 5, '0')) AS dst"), "Call", "'a.py'")
     sizes = CodeGraph.of(s, e).components().groupBy("component").count()
     assert sorted(r["count"] for r in sizes.collect()) == [1] * 2000 + [1000]
+
+
+def strong_by_hand(edges):
+    """Node -> largest node of its strongly connected component, for nodes on cycles; by closing over all pairs."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), list(near.get(a, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += near.get(x, ())
+        return seen
+
+    far = {a: reach(a) for a in {x for e in edges for x in e}}
+    return {a: max(b for b in far[a] if a in far[b]) for a in far if a in far[a]}
+
+
+def test_strong_components(spark):
+    import random
+
+    from weftgraph.operators.components import strong_components
+
+    rng = random.Random(3)
+    for n, m in ((1, 1), (6, 8), (30, 45), (60, 50)):
+        edges = [(f"n{rng.randrange(n):02}", f"n{rng.randrange(n):02}") for _ in range(m)]
+        rows = edges + edges[:3] + [(None, "n00"), ("n00", None)]
+        got = {r.node: r.component for r in strong_components(spark.createDataFrame(rows, "src string, dst string")).collect()}
+        assert got == strong_by_hand(edges)
+    assert strong_components(spark.createDataFrame([], "src string, dst string")).collect() == []

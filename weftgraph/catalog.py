@@ -180,9 +180,9 @@ reach AS (SELECT src, dst FROM pair UNION SELECT r.src, p.dst FROM reach r JOIN
 
 @query("cycle_membership", REACH + " SELECT DISTINCT src AS file FROM reach WHERE src = dst", recursive=True)
 def _(g):
-    from weftgraph.operators.flows import reachable
+    from weftgraph.operators.components import strong_components
 
-    return reachable(d.file_edges(g).select("src", "dst")).filter("src = dst").select(F.col("src").alias("file"))
+    return strong_components(d.file_edges(g)).select(F.col("node").alias("file"))
 
 
 @query("file_components", REACH.replace("edge JOIN", "edge JOIN") + """, both_ways AS (SELECT src, dst FROM reach UNION SELECT dst, src FROM reach), r2 AS (SELECT src, dst FROM both_ways UNION SELECT r.src, b.dst FROM r2 r JOIN both_ways b ON b.src = r.dst)
