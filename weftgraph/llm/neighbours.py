@@ -36,7 +36,7 @@ BLOCK, BATCH_BYTES, SAMPLE = 4096, 1 << 24, 2048
 #: Share of the projections in which a vector must collide.
 THRESHOLD = 0.5
 #: Half width of the first windows in units of a projection's spread, the factor of each widening, and how far the radius must reach beyond the k-th best.
-WIDTH, RATIO, SLACK = 0.4, 1.2, 1.15
+WIDTH, RATIO, SLACK = 0.8, 1.25, 1.15
 
 
 def norms(x: np.ndarray) -> np.ndarray:
@@ -58,52 +58,74 @@ class Block:
     """Vectors with their sorted arrays."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, lines: np.ndarray | None = None, order: np.ndarray | None = None):
-        self.ids, self.x = ids, x
+        self.ids, self.x, self.lengths = ids, x, norms(x)
         if lines is None:
             hashes = _hashes(x)
-            order = np.argsort(hashes, axis=1, kind="stable").astype(np.int32)
+            order = np.argsort(hashes, axis=1, kind="stable")
             lines = np.take_along_axis(hashes, order, axis=1)
-        self.lines, self.order = lines, order
+        self.lines, self.order = lines, order.astype(np.int64)
 
-    def search(self, qid: int, q: np.ndarray, own: np.ndarray, bound: float, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k nearest different ids that are found, best first; those below a k-th best known elsewhere may be left out."""
+    def search(self, qids: np.ndarray, q: np.ndarray, own: np.ndarray, bounds: np.ndarray, k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, scores) for each query: the k nearest different ids that are found, best first; those below a k-th best known elsewhere may be left out."""
         n, dim = self.x.shape
         spread, need = 1 / math.sqrt(dim), math.ceil(THRESHOLD * PROJECTIONS)
-        count, seen = np.zeros(n, dtype=np.int8), np.zeros(n, dtype=bool)
-        best_ids, best = np.empty(0, dtype=np.int64), np.empty(0)
-        length, width, low, high = np.sqrt((q * q).sum()), WIDTH, None, None
-        while True:
-            half = width * spread
-            new_low = np.array([line.searchsorted(v - half, "left") for line, v in zip(self.lines, own, strict=True)])
-            new_high = np.array([line.searchsorted(v + half, "right") for line, v in zip(self.lines, own, strict=True)])
-            for i, order in enumerate(self.order):  # only what the windows gained; a vector stands in an array once
-                if low is None:
-                    count[order[new_low[i] : new_high[i]]] += 1
-                else:
-                    count[order[new_low[i] : low[i]]] += 1
-                    count[order[high[i] : new_high[i]]] += 1
-            new = np.flatnonzero((count >= need) & ~seen)
-            if len(new):
-                seen[new] = True
-                new = new[self.ids[new] != qid]
-                x = self.x[new]
-                ids, scores = np.concatenate([best_ids, self.ids[new]]), np.concatenate([best, (x * q).sum(axis=1) / (norms(x) * length)])
-                order = np.lexsort((ids, -scores))
-                _, first = np.unique(ids[order], return_index=True)  # an id counts once, with its best vector
-                order = order[np.sort(first)[:k]]
-                best_ids, best = ids[order], scores[order]
-            known = max(bound, best[k - 1] if len(best) == k else -np.inf)
-            if (SLACK * SLACK) * (2 - 2 * known) <= width * width or (not new_low.any() and (new_high == n).all()):  # squared distance of unit vectors
-                fine = best >= bound
-                return best_ids[fine], best[fine]
+        count, done = np.zeros((len(q), n), dtype=np.int8), np.zeros((len(q), n), dtype=bool)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64), np.empty(0))] * len(q)
+        active, width = np.arange(len(q)), WIDTH
+        low = high = np.zeros((PROJECTIONS, len(q)), dtype=np.int64)
+        while len(active):
+            half, first = width * spread, width == WIDTH
+            new_low, new_high = low.copy(), high.copy()
+            for i, line in enumerate(self.lines):
+                new_low[i, active] = np.searchsorted(line, own[active, i] - half, "left")
+                new_high[i, active] = np.searchsorted(line, own[active, i] + half, "right")
+            ended = []
+            for j in active.tolist():
+                gained = []  # only what the windows gained; a vector stands in an array once
+                for i, order in enumerate(self.order):
+                    if first:
+                        gained.append(order[new_low[i, j] : new_high[i, j]])
+                    else:
+                        gained += (order[new_low[i, j] : low[i, j]], order[high[i, j] : new_high[i, j]])
+                count[j] += np.bincount(np.concatenate(gained), minlength=n).astype(np.int8)
+                new = np.flatnonzero((count[j] >= need) & ~done[j])
+                done[j, new] = True
+                best[j] = self._verified(new, qids[j], q[j], bounds[j], best[j], k)
+                known = max(bounds[j], best[j][1][k - 1] if len(best[j][1]) == k else -np.inf)
+                whole = not new_low[:, j].any() and bool((new_high[:, j] == n).all())
+                if whole or (SLACK * SLACK) * (2 - 2 * known) <= width * width:  # squared distance of unit vectors
+                    ended.append(j)
             low, high, width = new_low, new_high, width * RATIO
+            active = np.setdiff1d(active, ended)
+        return [(ids[scores >= b], scores[scores >= b]) for (ids, scores), b in zip(best, bounds, strict=True)]
+
+    def _verified(self, new: np.ndarray, qid: int, q: np.ndarray, bound: float, best: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of those known and of the new vectors, by their exact cosine; a quick product leaves out what cannot be among them."""
+        new = new[self.ids[new] != qid]
+        if not len(new):
+            return best
+        length = np.sqrt((q * q).sum())
+        rough = self.x[new] @ q / (self.lengths[new] * length)
+        least = max(bound, best[1][k - 1] if len(best[1]) == k else -np.inf)
+        new = new[rough >= least - 1e-9]
+        x = self.x[new]
+        ids, scores = np.concatenate([best[0], self.ids[new]]), np.concatenate([best[1], (x * q).sum(axis=1) / (self.lengths[new] * length)])
+        order = np.lexsort((ids, -scores))
+        _, first = np.unique(ids[order], return_index=True)  # an id counts once, with its best vector
+        order = order[np.sort(first)[:k]]
+        return ids[order], scores[order]
+
+
+#: Queries that search a block together.
+TOGETHER = 256
 
 
 def search_block(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, bounds: np.ndarray | None = None, k: int = K, block: Block | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, vector id, score) of what each query finds among the vectors."""
     block = block or Block(ids, x)
     own = _hashes(q).T if own is None else own
-    found = [block.search(int(i), v, o, b, k) for i, v, o, b in zip(qids, q, own, np.full(len(q), -np.inf) if bounds is None else bounds, strict=True)]
+    bounds = np.full(len(q), -np.inf) if bounds is None else bounds
+    found = [r for a in range(0, len(q), TOGETHER) for r in block.search(qids[a : a + TOGETHER], q[a : a + TOGETHER], own[a : a + TOGETHER], bounds[a : a + TOGETHER], k)]
     if not found:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
     return np.repeat(qids, [len(a) for a, _ in found]), np.concatenate([a for a, _ in found]), np.concatenate([s for _, s in found])
@@ -116,7 +138,7 @@ def _index(rows: DataFrame, blocks: int, scratch: Scratch) -> DataFrame:
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         b = Block(pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.float64))
-        return pd.DataFrame([{"dim": b.x.shape[1], "ids": b.ids.tobytes(), "x": b.x.tobytes(), "lines": b.lines.tobytes(), "order": b.order.tobytes()}])
+        return pd.DataFrame([{"dim": b.x.shape[1], "ids": b.ids.tobytes(), "x": b.x.tobytes(), "lines": b.lines.tobytes(), "order": b.order.astype(np.int32).tobytes()}])
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
     return scratch.write(dealt.groupBy("dim", "block").applyInPandas(build, schema))
