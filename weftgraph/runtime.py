@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 _PACKAGE = Path(__file__).resolve().parent
 _ARROW = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BYTES = 2 << 20
-FULL = 0.5
+FULL = 0.4
 
 
 def ship_package(spark: SparkSession) -> None:
