@@ -359,18 +359,22 @@ class _Search:
         release(self.scratch.spark)
 
     def verify(self, pairs: DataFrame) -> None:
-        """Link those of the candidate pairs (a, b, agree) that reach the threshold: each node's best first, then what is still apart."""
+        """Link those of the candidate pairs (a, b, agree) that reach the threshold: each node's best first, then those that these links do not join.
+
+        After the best ones, nodes go by the least node that they are linked to; that is enough to leave out most pairs of a large group.
+        """
         pairs = self.scratch.write(pairs)
         if rows(pairs):
             self.fetch(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
             best = self.scratch.write(pairs.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("p")).select("a", F.col("p.b").alias("b")))
-            self.add(_verified(best, self.known(), self.idf, self.threshold))
+            first = self.scratch.write(_verified(best, self.known(), self.idf, self.threshold))
+            both = first.select(F.col("a").alias("node"), F.col("b").alias("component")).union(first.select("b", "a"))
+            least = both.groupBy("node").agg(F.min("component").alias("component")).select("node", F.least("node", "component").alias("component"))
             done = best.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
             rest = pairs.select("a", "b").join(done, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
-            rest = self.scratch.write(_labelled(_labelled(rest, self.comps, "a", "_ca"), self.comps, "b", "_cb").filter("_ca <> _cb").drop("_ca", "_cb"))
-            if rows(rest):
-                self.add(_verified(rest, self.known(), self.idf, self.threshold))
-            self.scratch.drop(best, rest)
+            rest = self.scratch.write(_labelled(_labelled(rest, least, "a", "_ca"), least, "b", "_cb").filter("_ca <> _cb").drop("_ca", "_cb"))
+            self.add(first.union(_verified(rest, self.known(), self.idf, self.threshold)) if rows(rest) else first)
+            self.scratch.drop(best, first, rest)
         self.scratch.drop(pairs)
         release(self.scratch.spark)
 
@@ -588,6 +592,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     All columns stay, whatever their names.
     """
     classes = near_duplicate_classes(docs, id_col, text)
-    (lead,) = fresh(docs.columns, "lead")
-    leaders = classes.filter(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias(lead)).distinct()
-    return docs.join(leaders, F.col(f"`{id_col}`").eqNullSafe(F.col(lead)), "left_semi").dropDuplicates([id_col, text])
+    key, none, lead, gone = fresh(docs.columns, "key", "none", "lead", "gone")
+    of = lambda c: (F.coalesce(F.col(c).cast("string"), F.lit("")), F.col(c).isNull())  # noqa: E731  a null id equals itself
+    leaders = classes.filter(F.col("class_id").eqNullSafe(F.col(id_col))).select(*(v.alias(n) for v, n in zip(of(id_col), (lead, gone), strict=True))).distinct()
+    keyed = docs.withColumns(dict(zip((key, none), of(f"`{id_col}`"), strict=True)))
+    met = keyed.join(leaders, (F.col(key) == F.col(lead)) & (F.col(none) == F.col(gone)), "left_semi")
+    return met.dropDuplicates([key, none, text]).drop(key, none)  # dealt by id already
