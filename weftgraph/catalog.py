@@ -214,7 +214,7 @@ def _(g):
 
 @query("filtered_findings", ALL_FOUND + " SELECT pattern, entity, confidence FROM found WHERE severity <> 'info' AND confidence <> 'low' AND pattern IN ('data_dead_end', 'stale_reference')")
 def _(g):
-    return d.at_least(d.diagnostics(g), "warning", "moderate", ["data_dead_end", "stale_reference", ""]).select("pattern", "entity", "confidence")
+    return d.diagnostics(g, checks=["data_dead_end", "stale_reference", ""], severity="warning", confidence="moderate").select("pattern", "entity", "confidence")
 
 
 @query("top_issues")
