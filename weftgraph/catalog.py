@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import detectors as d
 from weftgraph.operators.graph import CodeGraph
+from weftgraph.runtime import cut
 from weftgraph.sources.projection import DUCK, conversation_graph, project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,11 +206,16 @@ ALL_FOUND = f""", found AS (
   UNION ALL SELECT 'stale_reference', 'warning', 'high', file, line, name FROM ex WHERE is_import AND resolution = 'Partial')"""
 
 
+def _settled(g: CodeGraph) -> CodeGraph:
+    """The graph with its rows written once: all detectors read them."""
+    return CodeGraph(cut(g.symbols), cut(g.refs), g.scopes, g.boundaries)
+
+
 @query("severity_counts")
 def _(g):
     from weftgraph.operators.summary import severity_counts
 
-    return severity_counts(d.diagnostics(g))
+    return severity_counts(d.diagnostics(_settled(g)))
 
 
 @query("filtered_findings", ALL_FOUND + " SELECT pattern, entity, confidence FROM found WHERE severity <> 'info' AND confidence <> 'low' AND pattern IN ('data_dead_end', 'stale_reference')")
@@ -221,12 +227,12 @@ def _(g):
 def _(g):
     from weftgraph.operators.summary import top_issues
 
-    return top_issues(d.diagnostics(g)).select("id", "pattern", "entity")
+    return top_issues(d.diagnostics(_settled(g))).select("id", "pattern", "entity")
 
 
 @query("diagnostics")
 def _(g):
-    return d.diagnostics(g).select("id", "pattern", "severity", "confidence", "entity", "loc")
+    return d.diagnostics(_settled(g)).select("id", "pattern", "severity", "confidence", "entity", "loc")
 
 
 FLOW = """, fe AS (SELECT DISTINCT c.src, coalesce(r.dst, c.dst) AS dst FROM edge c LEFT JOIN sym i ON i.id = c.dst AND i.is_import LEFT JOIN edge r ON r.src = i.id AND r.edge_kind = 'References' WHERE c.edge_kind = 'Calls'),
