@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 
-from weftgraph.llm import bpe, gbdt, langid, minhash, mixing, mpeg, neighbours, permute, pii, quality, sharding, substrings
+from weftgraph.llm import bpe, gbdt, langid, minhash, mixing, mpeg, neighbours, permute, pii, quality, sharding, substrings, words
 from weftgraph.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -823,3 +825,35 @@ def test_mixed_texts(spark, odd):
     words = sum(len(r.text.split()) for r in rows)
     assert abs(words - sum(len((t or "").split()) for _, t, *_ in ODD)) < 0.05 * 3010
     assert mixing.mix_texts(odd.limit(0)).collect() == []
+
+
+# hashes of word windows
+
+
+def test_window_hashes_do_not_depend_on_the_place():
+    rng = random.Random(3)
+    long = b" ".join(rng.choice([b"a", b"bcd", b"efghij", b"k" * 700]) for _ in range(30_000))
+    w = words.Words([b"x y", long, b"z"])
+    assert len(w.blob) > 4 << 20
+    first, hashes = w.windows(5)
+    near = [i for i in range(len(first)) if (w.starts[first[i]] >> 19) != (w.stops[first[i] + 4] >> 19)]  # over the edges of 512 KB
+    for i in [0, len(first) - 1, *near, *rng.sample(range(len(first)), 200)]:
+        part = w.bytes_of(first[i], first[i] + 4)
+        value = sum((b + 1) * pow(words._BASE, k, 1 << 64) for k, b in enumerate(part)) % (1 << 64)
+        assert hashes[i] == words.mix64(np.array([value], dtype=np.uint64))[0] == words.Words([part]).windows(5)[1][0]
+    assert len(near) > 4
+
+
+def test_workers_keep_little_of_long_texts():
+    gc.collect()
+    tracemalloc.start()
+    try:
+        words.Words([b"word " * 2_400_000])
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < 16 << 20
+        tracemalloc.reset_peak()
+        texts = [b"some words of one text %d" % k * 20 for k in range(4096)]
+        assert sum(len(counts) for _, _, counts in minhash.shingles(texts)) == 4096
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()

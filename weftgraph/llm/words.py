@@ -11,19 +11,19 @@ import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Bytes handled at once; a longer text is handled alone.
-CHUNK = 1 << 21
-_powers: dict[str, np.ndarray] = {}
+#: Bytes handled at once, a power of two; a longer text is handled alone.
+CHUNK = 1 << 19
+_powers: list[np.ndarray] = []
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        n = max(n, CHUNK + 1)
-        for name, b in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(n, b, dtype=np.uint64)
+def _pow() -> list[np.ndarray]:
+    """Powers of the base and of its inverse below CHUNK; workers keep them, so they don't grow with the texts."""
+    if not _powers:
+        for b in (_BASE, _INVERSE):
+            steps = np.full(CHUNK, b, dtype=np.uint64)
             steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+            _powers.append(np.multiply.accumulate(steps))
+    return _powers
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -43,9 +43,16 @@ class Words:
     def __init__(self, texts: list[bytes]):
         self.blob = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(self.blob, dtype=np.uint8)
-        up, self.down = _pow(len(raw))
+        up = _pow()[0]
         self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=self.sums[1:])
+        for at in range(0, len(raw), CHUNK):  # in place: base**(at + i) is base**at * base**i
+            part = self.sums[at + 1 : at + 1 + CHUNK]
+            part[:] = raw[at : at + CHUNK]
+            part += np.uint64(1)
+            part *= up[: len(part)]
+            part *= np.uint64(pow(_BASE, at, 1 << 64))
+            np.cumsum(part, out=part)
+            part += self.sums[at]
         stops = np.flatnonzero((raw == 32) | (raw == 10))
         self.starts = np.concatenate([[0], stops[:-1] + 1])
         self.stops = stops
@@ -67,7 +74,10 @@ class Words:
     def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Hashes of the words a to b, both inclusive."""
         lo, hi = self.starts[a], self.stops[b]
-        return mix64((self.sums[hi] - self.sums[lo]) * self.down[lo])
+        found = (self.sums[hi] - self.sums[lo]) * _pow()[1][lo % CHUNK]
+        if len(self.blob) > CHUNK:
+            found *= np.array([pow(_INVERSE, at, 1 << 64) for at in range(0, len(self.blob), CHUNK)], dtype=np.uint64)[lo // CHUNK]
+        return mix64(found)
 
     def bytes_of(self, a: int, b: int) -> bytes:
         return self.blob[self.starts[a] : self.stops[b]]
