@@ -93,3 +93,15 @@ def test_severities_count_every_detector(spark):
     by = Counter(r.severity for r in rows)
     assert (n.critical, n.warning, n.info, n.has_critical, n.has_findings) == (by["critical"], by["warning"], by["info"], by["critical"] > 0, True)
     assert [(r.id, r.pattern, r.entity) for r in catalog.QUERIES["top_issues"](spark, SF).collect()] == sorted((r.id, r.pattern, r.entity) for r in rows)[:5]
+
+
+def test_paths_beyond_the_limit_of_recursive_queries(spark):
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key)
+    edges = spark.createDataFrame([(f"{k}", f"{k + j}") for k in range(6) for j in (1, 2)], "src string, dst string")
+    spark.conf.set(key, "5")
+    try:
+        got = sorted((r.entry, ">".join(r.path), r.is_cyclic) for r in flows.paths(edges, spark.range(6).selectExpr("cast(id AS string) AS id"), 4).collect())
+    finally:
+        spark.conf.set(key, before)
+    assert got == brute_paths([(r.src, r.dst) for r in edges.collect()], [str(k) for k in range(6)], 4) and len(got) > 20

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators.graph import CodeGraph
-from weftgraph.runtime import number_rows
+from weftgraph.runtime import Scratch, number_rows, release, seen
 
 ALL_DEPTH, TRACE_DEPTH = 64, 10
 FLOWS = "entry string, path array<string>, is_cyclic boolean"
@@ -26,23 +26,30 @@ def paths(edges: DataFrame, entries: DataFrame, depth: int, distinct: bool = Tru
 
     A path ends where nothing follows, where it meets one of its own nodes (kept as last step, is_cyclic) or at
     `depth` steps. Entries without a next step give no row. With distinct=False parallel edges give
-    parallel paths, and a path cut at `depth` counts once for each step that would follow. The session's limit
-    of rows for recursive queries ends runaway enumerations with an error.
+    parallel paths, and a path cut at `depth` counts once for each step that would follow. Paths of each length but the last
+    are a table in the shared folder, so their number has no limit.
     """
     spark = edges.sparkSession
+    own = Scratch(spark, "paths")
     e = edges.select("src", "dst")
     e = e.distinct() if distinct else e
-    out = e.groupBy("src").agg(F.count("*").alias("n_out"))
-    found = spark.sql(
-        f"""WITH RECURSIVE walk (entry, path, last, cyc, depth) MAX RECURSION LEVEL {depth + 2} AS (
-          SELECT id, array(id), id, false, 0 FROM {{entries}}
-          UNION ALL
-          SELECT w.entry, concat(w.path, array(e.dst)), e.dst, array_contains(w.path, e.dst), w.depth + 1
-          FROM walk w JOIN {{edges}} e ON e.src = w.last WHERE NOT w.cyc AND w.depth < {depth}
-        ) SELECT w.entry, slice(w.path, 2, w.depth) AS path, w.cyc AS is_cyclic, w.depth, o.n_out FROM walk w LEFT JOIN {{outs}} o ON o.src = w.last
-        WHERE w.depth > 0 AND (w.cyc OR o.n_out IS NULL OR w.depth = {depth})""",
-        entries=entries.select("id").distinct(), edges=e, outs=out,
-    )
+    out = e.groupBy(F.col("src").alias("_s")).agg(F.count("*").alias("n_out"))
+    e = own.write(e.join(out, F.col("dst") == F.col("_s"), "left").select("src", "dst", "n_out"))  # n_out: steps that follow dst
+    found, front = spark.createDataFrame([], f"{FLOWS}, n_out bigint"), entries.select(F.col("id").alias("entry"), F.array().cast("array<string>").alias("path")).distinct()
+    for k in range(1, depth + 1):
+        last = F.col("entry") if k == 1 else F.element_at("path", -1)
+        step = front.withColumn("_at", last).join(e, F.col("_at") == F.col("src"))
+        again = (F.col("dst") == F.col("entry")) | F.array_contains("path", F.col("dst"))
+        step = step.select("entry", F.concat("path", F.array("dst")).alias("path"), again.alias("is_cyclic"), "n_out")
+        if k == depth:
+            found = found.unionByName(step)
+            break
+        step = own.write(step, n_open=F.count_if(~F.col("is_cyclic") & F.col("n_out").isNotNull()))
+        release(spark)
+        found = found.unionByName(step.filter("is_cyclic OR n_out IS NULL"))
+        if not seen(step, "n_open"):
+            break
+        front = step.filter("NOT is_cyclic AND n_out IS NOT NULL").select("entry", "path")
     if distinct:
         return found.select("entry", "path", "is_cyclic")
     times = F.when(F.col("is_cyclic") | F.col("n_out").isNull(), 1).otherwise(F.col("n_out"))
