@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import detectors as d
 from weftgraph.operators.graph import CodeGraph
-from weftgraph.runtime import cut
+from weftgraph.runtime import Scratch
 from weftgraph.sources.projection import DUCK, conversation_graph, project
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,14 +208,16 @@ ALL_FOUND = f""", found AS (
 
 def _settled(g: CodeGraph) -> CodeGraph:
     """The graph with its rows written once: all detectors read them."""
-    return CodeGraph(cut(g.symbols), cut(g.refs), g.scopes, g.boundaries)
+    own = Scratch(g.symbols.sparkSession, "graph")
+    return CodeGraph(own.write(g.symbols), own.write(g.refs), g.scopes, g.boundaries)
 
 
 @query("severity_counts")
 def _(g):
     from weftgraph.operators.summary import severity_counts
 
-    return severity_counts(d.diagnostics(_settled(g)))
+    own = Scratch(g.symbols.sparkSession, "findings")
+    return severity_counts(d.findings(_settled(g), own, columns=("severity",)))
 
 
 @query("filtered_findings", ALL_FOUND + " SELECT pattern, entity, confidence FROM found WHERE severity <> 'info' AND confidence <> 'low' AND pattern IN ('data_dead_end', 'stale_reference')")
@@ -225,9 +227,7 @@ def _(g):
 
 @query("top_issues")
 def _(g):
-    from weftgraph.operators.summary import top_issues
-
-    return top_issues(d.diagnostics(_settled(g))).select("id", "pattern", "entity")
+    return d.first_findings(_settled(g), 5).select("id", "pattern", "entity")
 
 
 @query("diagnostics")

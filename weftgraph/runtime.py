@@ -146,15 +146,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def number_rows(df: DataFrame, order: list, name: str = "row_no") -> DataFrame:
+def number_rows(df: DataFrame, order: list, name: str = "row_no", scratch: Scratch | None = None) -> DataFrame:
     """Add gapless numbers from 0 in the given order, without one task seeing all rows.
 
     Rows are range-partitioned and sorted, each gets its place within its partition,
-    and the partitions' counts (one row per partition) give the offsets.
+    and the partitions' counts (one row per partition) give the offsets. The rows are a table of `scratch`, if given, else a checkpoint.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = cut(
+    placed = (scratch.write if scratch else cut)(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_pid", F.spark_partition_id())
